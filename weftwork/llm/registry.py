@@ -1,8 +1,9 @@
 """Queries and SQL of the corpus operators, by name."""
 
-from weftwork.llm import q07_decontaminate
+from weftwork.llm import q01_quality, q07_decontaminate
 
 QUERIES = {
+    "op1_quality": q01_quality.op1_quality,
     "op7_decontaminate": q07_decontaminate.op7_decontaminate,
 }
 
