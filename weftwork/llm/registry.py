@@ -1,8 +1,9 @@
 """Queries and SQL of the corpus operators, by name."""
 
-from weftwork.llm import q01_quality, q07_decontaminate
+from weftwork.llm import q01_quality, q07_decontaminate, q08_toxicity
 
 QUERIES = {
+    "op8_toxicity": q08_toxicity.op8_toxicity,
     "op1_quality": q01_quality.op1_quality,
     "op7_decontaminate": q07_decontaminate.op7_decontaminate,
 }
