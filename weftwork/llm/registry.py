@@ -1,13 +1,15 @@
 """Queries and SQL of the corpus operators, by name."""
 
-from weftwork.llm import q01_quality, q07_decontaminate, q08_toxicity
+from weftwork.llm import q01_quality, q07_decontaminate, q08_toxicity, q10_near_dedup
 
 QUERIES = {
+    "op10_near_dedup": q10_near_dedup.op10_near_dedup,
     "op8_toxicity": q08_toxicity.op8_toxicity,
     "op1_quality": q01_quality.op1_quality,
     "op7_decontaminate": q07_decontaminate.op7_decontaminate,
 }
 
 ORACLES = {
+    "op10_near_dedup": q10_near_dedup.ORACLE,
     "op7_decontaminate": q07_decontaminate.ORACLE,
 }
