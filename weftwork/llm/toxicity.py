@@ -20,7 +20,7 @@ BUCKETS, WIDTH, GRAMS, CHUNK = 1 << 17, 4, (4, 5, 6, 7), 24
 #: Training rows at most, by label, and passes over them.
 MAX_TOXIC, MAX_CLEAN, STEPS = 1500, 3000, 40
 #: Step of the optimiser, and the gradient, as a share of the first largest, at which steps reach half of it; share that vectors lose a step.
-RATE, FLOOR, DECAY = 10.0, 1.0, 0.02
+RATE, FLOOR, DECAY = 5.0, 1.0, 0.02
 #: The part of the labels' log odds that the bias takes; the classes weigh the same in training.
 PRIOR = 0.2
 #: Bytes of a word that are read; a longer word is split into words of so many.
