@@ -1,8 +1,9 @@
 """Queries and SQL of the corpus operators, by name."""
 
-from weftwork.llm import q01_quality, q04_license_scan, q07_decontaminate, q08_toxicity, q10_near_dedup
+from weftwork.llm import q01_quality, q02_personal_data, q04_license_scan, q07_decontaminate, q08_toxicity, q10_near_dedup
 
 QUERIES = {
+    "op2_personal_data": q02_personal_data.op2_personal_data,
     "op4_license_scan": q04_license_scan.op4_license_scan,
     "op10_near_dedup": q10_near_dedup.op10_near_dedup,
     "op8_toxicity": q08_toxicity.op8_toxicity,
