@@ -20,8 +20,8 @@ from weftwork.llm.common import small_batches, written
 
 #: Orderings, projected dimensions, bits of each, part of an ordering that a query looks into.
 ORDERINGS, DIMS, BITS, PART = 5, 4, 7, 0.4
-#: Ranges of an ordering at least, and vectors of a range at most (about).
-RANGES, RANGE_ROWS = 32, 16384
+#: Ranges of an ordering at least, vectors of a range at most, and of a window at least (about).
+RANGES, RANGE_ROWS, LEAST_ROWS = 32, 16384, 512
 
 
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -173,7 +173,7 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 5, part: float =
 
 def _searched(kinds: DataFrame, asked: DataFrame, rows: int, k: int, part: float) -> DataFrame:
     ranges = max(RANGES, -(-rows // RANGE_ROWS))
-    side = max(1, round(part * ranges / 2))
+    side = min(ranges, max(1, round(part * ranges / 2), -(-LEAST_ROWS * ranges // (2 * rows))))
     points = F.array(*[F.lit((i + 1) / ranges) for i in range(ranges - 1)])
     cuts = kinds.agg(*[F.percentile_approx(F.get("keys", F.lit(t)), points, 20 * ranges).alias(f"t{t}") for t in range(ORDERINGS)]).first()
     borders = [np.array(cuts[t], np.int64) for t in range(ORDERINGS)]
