@@ -1,8 +1,9 @@
 """Queries and SQL of the corpus operators, by name."""
 
-from weftwork.llm import q01_quality, q02_personal_data, q03_hilbert_ann, q04_license_scan, q07_decontaminate, q08_toxicity, q10_near_dedup
+from weftwork.llm import q01_quality, q02_personal_data, q03_hilbert_ann, q04_license_scan, q07_decontaminate, q08_toxicity, q09_piece_encoding, q10_near_dedup
 
 QUERIES = {
+    "op9_piece_encoding": q09_piece_encoding.op9_piece_encoding,
     "op3_hilbert_ann": q03_hilbert_ann.op3_hilbert_ann,
     "op2_personal_data": q02_personal_data.op2_personal_data,
     "op4_license_scan": q04_license_scan.op4_license_scan,
