@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from weftwork.plans import text_queries
+
+_PARTS = (text_queries,)
+QUERIES = {name: query for part in _PARTS for name, query in part.Q.items()}
+ORACLES = {name: sql for part in _PARTS for name, sql in part.O.items()}
