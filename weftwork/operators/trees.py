@@ -23,7 +23,7 @@ def leaf_to_root(nodes: DataFrame, tree: str = "tree", idx: str = "idx", parent:
         if open_.isEmpty():
             break
         step = open_.join(link, (F.col("tree") == F.col("t")) & (F.col("next") == F.col("i")))
-        step = step.select("tree", "leaf", F.concat("path", F.array("i")).alias("path"), F.col("p").alias("next"))
+        step = step.select("tree", "leaf", F.concat("path", F.array("i")).alias("path"), F.col("p").alias("next")).persist()
         found.append(step.where("next is null").drop("next"))
         open_ = step.where("next is not null")
     else:
