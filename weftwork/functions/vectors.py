@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once; inside a lambda an expression would be worked out for each item."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def zero() -> Column:
     return F.lit(0.0)
 
@@ -26,16 +31,22 @@ def sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
 
 
+def total(a: Column) -> Column:
+    return F.aggregate(a, zero(), lambda s, x: s + x)
+
+
 def softmax(a: Column) -> Column:
-    top = F.array_max(a)
-    powers = F.transform(a, lambda x: F.exp(x - top))
-    return F.transform(powers, lambda x: x / F.aggregate(powers, zero(), lambda s, y: s + y))
+    def shares(powers):
+        return let(total(powers), lambda t: F.transform(powers, lambda x: x / t))
+
+    return let(F.array_max(a), lambda top: let(F.transform(a, lambda x: F.exp(x - top)), shares))
 
 
 def log_softmax(a: Column) -> Column:
-    top = F.array_max(a)
-    total = F.ln(F.aggregate(a, zero(), lambda s, y: s + F.exp(y - top)))
-    return F.transform(a, lambda x: x - top - total)
+    def logs(top):
+        return let(F.ln(F.aggregate(a, zero(), lambda s, y: s + F.exp(y - top))) + top, lambda t: F.transform(a, lambda x: x - t))
+
+    return let(F.array_max(a), logs)
 
 
 def projected(matrix: list[list[float]], a: Column) -> Column:
@@ -45,9 +56,12 @@ def projected(matrix: list[list[float]], a: Column) -> Column:
 
 def layer_norm(a: Column, epsilon: float = 1e-5) -> Column:
     n = F.size(a)
-    mean = F.aggregate(a, zero(), lambda s, x: s + x) / n
-    spread = F.aggregate(a, zero(), lambda s, x: s + (x - mean) * (x - mean)) / n
-    return F.transform(a, lambda x: (x - mean) / F.sqrt(spread + epsilon))
+
+    def normed(mean):
+        spread = F.sqrt(F.aggregate(a, zero(), lambda s, x: s + (x - mean) * (x - mean)) / n + epsilon)
+        return let(spread, lambda d: F.transform(a, lambda x: (x - mean) / d))
+
+    return let(total(a) / n, normed)
 
 
 def gated(state: Column, update: Column, forget: Column, accept: Column) -> Column:
@@ -60,5 +74,5 @@ def gated(state: Column, update: Column, forget: Column, accept: Column) -> Colu
 def mean_of(vectors: Column) -> Column:
     """By component, over an array of vectors."""
     first = F.get(vectors, F.lit(0))
-    total = F.aggregate(F.slice(vectors, F.lit(2), F.greatest(F.size(vectors) - 1, F.lit(0))), first, added)
-    return scaled(total, 1.0 / F.size(vectors))
+    sums = F.aggregate(F.slice(vectors, F.lit(2), F.greatest(F.size(vectors) - 1, F.lit(0))), first, added)
+    return let(sums, lambda v: scaled(v, 1.0 / F.size(vectors)))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftwork.functions.vectors import let
+
 EPSILON = 1.1920929e-07  # fixed value: the epsilon of 32-bit floats
 
 
@@ -74,12 +76,15 @@ def moving_average(key: str, order: str, value: str, width: int = 50) -> Column:
 def moving_average_without_outliers(key: str, order: str, value: str, width: int = 50, outliers: int = 3) -> Column:
     """Mean of the last ``width`` values without those farthest from their median; fewer are left out while it fills up."""
     own = F.collect_list(value).over(Window.partitionBy(key).orderBy(order).rowsBetween(1 - width, 0))
-    n = F.size(own)
-    s = F.array_sort(own)
-    middle = (F.get(s, ((n - 1) / 2).cast("int")) + F.get(s, (n / 2).cast("int"))) / 2
-    by = F.array_sort(F.transform(own, lambda x: F.struct(F.abs(x - middle).alias("d"), x.alias("x"))))
-    kept = F.slice(by, F.lit(1), n - F.floor(n * outliers / width).cast("int"))
-    return F.aggregate(kept, F.lit(0.0), lambda a, p: a + p["x"]) / F.size(kept)
+
+    def without(values):
+        n = F.size(values)
+        s = F.array_sort(values)
+        middle = let((F.get(s, ((n - 1) / 2).cast("int")) + F.get(s, (n / 2).cast("int"))) / 2, lambda m: F.array_sort(F.transform(values, lambda x: F.struct(F.abs(x - m).alias("d"), x.alias("x")))))
+        kept = F.slice(middle, F.lit(1), n - F.floor(n * outliers / width).cast("int"))
+        return let(kept, lambda k: F.aggregate(k, F.lit(0.0), lambda a, p: a + p["x"]) / F.size(k))
+
+    return let(own, without)
 
 
 def running_mean(key: str, order: str, value: str) -> Column:
