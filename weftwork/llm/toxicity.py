@@ -18,9 +18,9 @@ from weftwork.llm.common import WORD_BYTES, small_batches, text_blocks, word_spa
 #: Hash buckets, vector width, lengths of character n-grams, words of a chunk.
 BUCKETS, WIDTH, GRAMS, CHUNK = 1 << 17, 4, (4, 5, 6, 7), 24
 #: Training rows at most, by label, and passes over them.
-MAX_TOXIC, MAX_CLEAN, STEPS = 1500, 3000, 40
-#: Step of the optimiser, and the gradient, as a share of the first largest, at which steps reach half of it; share that vectors lose a step.
-RATE, FLOOR, DECAY = 5.0, 1.0, 0.02
+MAX_TOXIC, MAX_CLEAN, STEPS = 1500, 3000, 60
+#: First step of the optimiser (steps shrink evenly to none), and the gradient, as a share of the first largest, at which steps reach half of it; share that vectors lose a step.
+RATE, FLOOR, DECAY = 8.0, 1.0, 0.01
 #: The part of the labels' log odds that the bias takes; the classes weigh the same in training.
 PRIOR = 0.2
 #: Bytes of a word that are read; a longer word is split into words of so many.
@@ -122,7 +122,8 @@ def train(texts: list, labels: np.ndarray, share: float, steps: int = STEPS, see
     size = BUCKETS * WIDTH
     state = np.concatenate([rng.normal(0, 1e-4, size), np.full(WIDTH, WIDTH**-0.5), [0.0]])
     first_moment, second_moment = np.zeros_like(state), np.zeros_like(state)
-    # a document's loss comes from its most toxic chunk
+    # a document's loss is that of its most toxic chunk; chunks share the slope by their softmax, at first evenly
+    docs = len(labels)
     weight_of = np.where(labels == 1, 0.5 / ones, 0.5 / (len(labels) - ones))
     for step in range(1, steps + 1):
         vectors, reader, bias = state[:size].reshape(BUCKETS, WIDTH), state[size:-1], state[-1]
@@ -132,11 +133,14 @@ def train(texts: list, labels: np.ndarray, share: float, steps: int = STEPS, see
         order = np.lexsort((-logit, doc))
         top = order[np.concatenate([[True], doc[order][1:] != doc[order][:-1]])]
         p = 1 / (1 + np.exp(-np.clip(logit[top], -30, 30)))
-        slope = np.zeros(len(doc))
-        slope[top] = weight_of[doc[top]] * (p - labels[doc[top]])
+        pull = np.zeros(docs)
+        pull[doc[top]] = weight_of[doc[top]] * (p - labels[doc[top]])
+        best = np.zeros(docs)
+        best[doc[top]] = logit[top]
+        part = np.exp(logit - best[doc])
+        slope = pull[doc] * part / np.bincount(doc, part, docs)[doc]
         by_word = np.bincount(codes, slope[chunk] / CHUNK, len(words))
-        pull = by_word * spread
-        by_bucket = np.bincount(bucket, pull[owner], BUCKETS)
+        by_bucket = np.bincount(bucket, (by_word * spread)[owner], BUCKETS)
         gradient = np.concatenate([np.outer(by_bucket, reader).ravel(), by_word @ word, [slope.sum()]])
         if step == 1:  # n-grams of few texts move in proportion to their gradient, common ones at the full rate
             floor = np.full(len(state), 1.0)
@@ -144,7 +148,7 @@ def train(texts: list, labels: np.ndarray, share: float, steps: int = STEPS, see
         first_moment = 0.9 * first_moment + 0.1 * gradient
         second_moment = 0.99 * second_moment + 0.01 * gradient**2
         state[:size] *= 1 - DECAY
-        state -= RATE * (first_moment / (1 - 0.9**step)) / (np.sqrt(second_moment / (1 - 0.99**step)) + floor)
+        state -= RATE * (1 - step / (steps + 1)) * (first_moment / (1 - 0.9**step)) / (np.sqrt(second_moment / (1 - 0.99**step)) + floor)
     vectors, reader, bias = state[:size].reshape(BUCKETS, WIDTH), state[size:-1], state[-1]
     prior = np.log(max(share, 1e-6) / max(1 - share, 1e-6))
     return Model(vectors @ reader, float(bias + PRIOR * prior))
