@@ -163,3 +163,62 @@ def test_tree_lstm_of_a_chain_feeds_children_up():
     x = np.random.default_rng(0).normal(size=(3, 3))
     whole = net.run(x, [-1, 0, 1])
     assert np.allclose(whole[2], net.run(x[2:], [-1])[0]) and not np.allclose(whole[0], net.run(x[:1], [-1])[0])
+
+
+def method_example(n_symbols=2):
+    pos = {"begin": {"col": 0, "line": 0}, "end": {"col": 1, "line": 0}}
+    token = lambda k, **x: {"kind": k, "positionRangeInCodeSnippetStr": {"beginIdx": 0, "endIdx": 1}, "positionRangeInFile": pos, **x}
+    tokens = [token("KEYWORD", text="if"), token("IDENTIFIER", identifierIdx=0, symbolIdx=0), token("OPERATOR", operator="PLUS"), token("IDENTIFIER", identifierIdx=1), token("SEPARATOR", separator="SEMICOLON")]
+    ref = lambda i, name: {"identifierIdx": i, "symbolIdx": i, "symbolName": name}
+    use = {"use": {"must": [ref(1, "b"), ref(0, "LOG_")], "may": [ref(1, "b"), ref(0, "a")]}}
+    ranged = lambda a, b: {"beginTokenIdx": a, "endTokenIdx": b}
+    pdg = [
+        {"idx": 0, "controlKind": "METHOD_ENTRY", "hasExpression": False, "controlFlowOutEdges": [{"PGDNodeIdx": 1, "type": None}]},
+        {"idx": 1, "controlKind": "EXPRESSION", "hasExpression": True, "codeSubTokenRangeRef": ranged(0, 2), "controlFlowOutEdges": [{"PGDNodeIdx": 2, "type": "True"}], "dataDependencyOutEdges": [{"PGDNodeIdx": 2, "symbols": [ref(0, "a"), ref(1, "b")]}]},
+        {"idx": 2, "controlKind": "EXPRESSION", "hasExpression": True, "codeSubTokenRangeRef": ranged(3, 4), "symbolsUseDefMut": use},
+    ]
+    ast = [
+        {"idx": 0, "type": "MethodDecl", "childrenIdxs": [1, 2]},
+        {"idx": 1, "type": "BinaryExpr_PLUS", "parentNodeIdx": 0, "childPlaceAtParent": 0, "identifier": "a"},
+        {"idx": 2, "type": "Name", "parentNodeIdx": 0, "childPlaceAtParent": 1, "modifier": "final"},
+    ]
+    return {
+        "hash": "h",
+        "logging_call": {"hash": "h", "methodRef": {"hash": "m"}, "astNodeIdx": 2, "pdgNodeIdx": 2},
+        "method": {"hash": "m", "code": {"codeStr": "x", "tokenized": tokens}},
+        "method_ast": {"methodHash": "m", "rootNodeIdx": 0, "nodes": ast},
+        "method_pdg": {"methodHash": "m", "entryPDGNodeIdx": 0, "exitPDGNodeIdx": 2, "identifierByIdx": ["getA", "b"], "subIdentifiersByIdx": [["get", "a"], ["b"]], "pdgNodes": pdg, "symbols": [{"idx": i, "identifierIdx": i, "symbolName": "s"} for i in range(n_symbols)]},
+    }
+
+
+def test_preprocessing_of_a_method(spark):
+    from weftwork.plans import preprocess
+
+    rows = [method_example(), method_example(n_symbols=60)]
+    lines = spark.createDataFrame([(i, *[json.dumps(r[p]) for p in schema.PARTS]) for i, r in enumerate(rows)], f"line_no long, {', '.join(p + ' string' for p in schema.PARTS)}")
+    examples_ = lines.select("line_no", *[schema.decoded(p, F.col(p)).alias(p) for p in schema.PARTS])
+    loose = {"n_pdg_nodes": (1, 80), "n_expressions": (1, None), "n_symbols": (1, 55)}
+    kept, rejected = preprocess.preprocessed(examples_, loose)
+    assert [(r.line_no, [v.name for v in r.violations]) for r in rejected.collect()] == [(1, ["n_symbols"])]
+    assert {v.name for v in preprocess.preprocessed(examples_)[1].where("line_no = 0").first().violations} == {"n_pdg_nodes", "n_expressions", "n_symbols"}
+    r = kept.first()
+    assert r.sub_parts == ["a", "b", "get"] and r.identifier_sub_parts == [[2, 0], [1]] and r.symbols_identifier == [0, 1]
+    assert r.ast_major == ["MethodDecl", "BinaryExpr", "Name"] and r.ast_minor == ["<PAD>", "PLUS", "<PAD>"]
+    assert r.ast_from_left == ["+ROOT", "+1", "+2"] and r.ast_from_right == ["-ROOT", "-2", "-1"] and r.ast_children == ["2", "0", "0"]
+    assert [tuple(x) for x in r.identifier_leaves] == [(1, "a")] and [tuple(x) for x in r.modifier_leaves] == [(2, "final")]
+    assert r.control_kind == ["METHOD_ENTRY", "EXPRESSION", "<LOG_PRED>"] and r.has_expression == [False, True, False]
+    assert [[t.kos for t in e.tokens] for e in r.expressions] == [["kwrd_if", None, "op_PLUS"]]
+    assert [tuple(e) for e in r.flow_edges] == [(0, 1, "<PAD>"), (1, 2, "True")] and [tuple(e) for e in r.ast_edges] == [(0, 1), (0, 2)]
+    assert r.method_tokens == ["KEYWORD", "IDENTIFIER", "OPERATOR", "<LOG_PRED>"]
+    assert r.targets == [1, 3, 4, 2, 0, 0]
+    vocab = spark.createDataFrame([("MethodDecl", 2), ("Name", 3)], "word string, idx long")
+    assert preprocess.encoded_column(kept, "line_no", "ast_major", vocab, 1).first().ast_major == [2, 1, 3]
+    code = spark.range(1).select(preprocess.formatted(F.lit("abcdef"), F.expr("array(named_struct('k', 7, 'begin', 1, 'end', 3), named_struct('k', 8, 'begin', 4, 'end', 5))")).alias("c"))
+    assert code.first().c == "a[@7 bc]d[@8 e]f"
+
+
+def test_entry(spark):
+    import __spark_entry__ as entry
+
+    assert entry.entry(spark).count() > 0
+    assert set(entry.oracle_sql()) <= set(entry.queries())

@@ -68,8 +68,8 @@ def report(rows: DataFrame) -> DataFrame:
         F.count_if(F.abs("value") == float("inf")).alias("n_inf"),
         F.count_if(F.isnan("value")).alias("n_nan"),
     )
-    total = counts.agg(F.sum("n").alias("total"))  # one row
-    return counts.crossJoin(F.broadcast(total)).select("reason", "n", F.round(100 * F.col("n") / F.col("total"), 2).alias("percent"), "mean", "std", "n_inf", "n_nan")
+    total = counts.agg(F.sum("n")).scalar()
+    return counts.select("reason", "n", F.round(100 * F.col("n") / total, 2).alias("percent"), "mean", "std", "n_inf", "n_nan")
 
 
 def mean_variance(value: Column) -> list[Column]:

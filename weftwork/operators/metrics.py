@@ -48,8 +48,7 @@ def set_metrics(outcomes: DataFrame, by: list[str] = ()) -> DataFrame:
 def distribution(outcomes: DataFrame, column: str) -> DataFrame:
     """value, n and percent of the rows."""
     counts = outcomes.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("_t"))  # one row
-    return counts.crossJoin(F.broadcast(total)).select("value", "n", F.round(100 * F.col("n") / F.col("_t"), 4).alias("percent"))
+    return counts.select("value", "n", F.round(100 * F.col("n") / counts.agg(F.sum("n")).scalar(), 4).alias("percent"))
 
 
 def predicted_items(ids: Column, specials: int = 3) -> Column:

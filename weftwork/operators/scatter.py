@@ -53,8 +53,8 @@ def scattered(rows: DataFrame, index: str, value: str, how: str = "sum", size: i
     parts = _components(rows, index, F.col(value)).groupBy("idx", "dim").agg((F.sum if how == "sum" else F.avg)("x").alias("x"))
     if size is None:
         return parts
-    width = rows.agg(F.max(F.size(value)).alias("w"))  # one row
-    dense = rows.sparkSession.range(size).crossJoin(F.broadcast(width)).select(F.col("id").alias("idx"), F.explode(F.sequence(F.lit(0), F.col("w") - 1)).alias("dim"))
+    width = rows.agg(F.max(F.size(value))).scalar()
+    dense = rows.sparkSession.range(size).withColumn("w", width).select(F.col("id").alias("idx"), F.explode(F.sequence(F.lit(0), F.col("w") - 1)).alias("dim"))
     return dense.join(parts, ["idx", "dim"], "left").select("idx", "dim", F.coalesce("x", F.lit(0.0)).alias("x"))
 
 
