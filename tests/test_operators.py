@@ -222,3 +222,15 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_cached_table_is_built_once(spark, tmp_path):
+    calls = []
+
+    def build():
+        calls.append(1)
+        return spark.range(3)
+
+    for _ in range(2):
+        assert store.cached(spark, f"file://{tmp_path}/words", build).count() == 3
+    assert calls == [1]

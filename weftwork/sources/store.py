@@ -134,3 +134,11 @@ def write_predictions(rows: DataFrame, folder: str, key: str, names: str) -> Non
     ordered = rows.orderBy(key)
     ordered.select(F.array_join(names, " ").alias("value")).write.text(f"{folder}/predictions.txt")
     ordered.select(F.col(key).cast("string").alias("value")).write.text(f"{folder}/predictions_hashes.txt")
+
+
+def cached(spark: SparkSession, path: str, build) -> DataFrame:
+    """The table at ``path``; ``build()`` makes it first if it is not there. Vocabularies and word counts are kept so."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
