@@ -60,8 +60,8 @@ def _whole(values):
 def test_shared_prefixes_change_nothing():
     pieces = piece_encoding.Pieces.load(q09_piece_encoding.vocabulary())
     words = [" the", " then", " theory", " there", " zebra", "", " th"]
-    alone = {w: pieces.segment([w])[0].tolist() for w in words}
-    assert {w: i.tolist() for w, i in zip(sorted(words), pieces.segment(sorted(words)), strict=True)} == alone
+    alone = {w: pieces.segment([w])[0] for w in words}
+    assert {w: i for w, i in zip(sorted(words), pieces.segment(sorted(words)), strict=True)} == alone
 
 
 def test_query(spark):

@@ -13,7 +13,7 @@ those of the file, added up along a segmentation as a unigram model does.
 from __future__ import annotations
 
 import hashlib
-from os.path import commonprefix
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +26,7 @@ from weftwork.llm.common import small_batches, text_blocks, words_of
 KEPT_WORDS = 200_000
 #: Distance below the lowest score at which a character counts that no piece covers.
 UNKNOWN = 10.0
+INFINITE = float("inf")
 
 
 class Pieces:
@@ -37,10 +38,14 @@ class Pieces:
         self.low = min((scores[i] for i in self.number.values()), default=0.0) - UNKNOWN
         of_byte = {i: bytes([b]) for b, i in byte_ids.items()}
         self.raw = [of_byte.get(i, b"" if i in skip else p.encode()) for i, p in enumerate(pieces)]
-        self.reach: dict[str, int] = {}  # longest piece by its last character
-        for p in self.number:
-            self.reach[p[-1]] = max(self.reach.get(p[-1], 1), len(p))
-        self.kept: dict[bytes, np.ndarray] = {}
+        self.trie: dict = {}  # by character; at "": score and number of the piece that ends here
+        for p, i in self.number.items():
+            node = self.trie
+            for c in p:
+                node = node.setdefault(c, {})
+            node[""] = (scores[i], i)
+        self.sizes = np.array([len(x) for x in self.raw], np.int64)
+        self.kept: dict[bytes, bytes] = {}
 
     def __getstate__(self):
         return self.__dict__ | {"kept": {}}
@@ -56,40 +61,64 @@ class Pieces:
         skip = {i for i in range(n) if model.is_control(i) or model.is_unknown(i) or model.is_unused(i)}
         return cls([x.replace("▁", " ") for x in names], [model.get_score(i) for i in range(n)], byte_ids, skip, model.unk_id())
 
-    def _ids(self, word: str, back: list) -> np.ndarray:
-        out, at = [], len(word)
+    def _ids(self, word: str, back: list) -> bytes:
+        out, at = array("i"), len(word)
         while at:
             start, piece = back[at]
             if piece >= 0:
                 out.append(piece)
+            elif self.byte_ids:
+                out.extend(self.byte_ids.get(b, self.unknown) for b in reversed(word[start:at].encode()))
             else:
-                out += [self.byte_ids.get(b, self.unknown) for b in reversed(word[start:at].encode())] if self.byte_ids else [self.unknown]
+                out.append(self.unknown)
             at = start
-        return np.array(out[::-1], np.int32)
+        out.reverse()
+        return out.tobytes()
 
-    def segment(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of each of the sorted ``words``; ties go to the earlier start."""
-        number, scores, low, reach = self.number, self.scores, self.low, self.reach
-        best, back, last, out = [0.0], [(0, -1)], "", []
+    def segment(self, words: list[str]) -> list[bytes]:
+        """Ids (32-bit) of each of the sorted ``words``; ties go to the earlier start.
+
+        Each place keeps its best score, where that came from, and the places of the trie that pieces begun before
+        it have reached; a word goes on from those of the prefix that it shares with the one before.
+        """
+        root, low = self.trie, self.low
+        best, back, open_, last, out = [0.0], [(0, -1)], [[]], "", []
         for word in words:
-            shared = len(commonprefix((last, word)))
-            del best[shared + 1 :], back[shared + 1 :]
-            for end in range(shared + 1, len(word) + 1):
-                top, link = -np.inf, None
-                for start in range(max(0, end - reach.get(word[end - 1], 1)), end):
-                    piece = number.get(word[start:end])
-                    if piece is not None and (score := best[start] + scores[piece]) > top:
-                        top, link = score, (start, piece)
-                if number.get(word[end - 1]) is None and best[end - 1] + low > top:
-                    top, link = best[end - 1] + low, (end - 1, -1)
+            shared = 0
+            for a, b in zip(last, word):  # noqa: B905
+                if a != b:
+                    break
+                shared += 1
+            del best[shared + 1 :], back[shared + 1 :], open_[shared + 1 :]
+            active, before = open_[shared], best[shared]
+            for at in range(shared, len(word)):
+                c, top, link, reached = word[at], -INFINITE, None, []
+                for base, start, node in active:
+                    if (below := node.get(c)) is not None:
+                        reached.append((base, start, below))
+                        if (end := below.get("")) is not None and base + end[0] > top:
+                            top, link = base + end[0], (start, end[1])
+                if (below := root.get(c)) is not None:
+                    reached.append((before, at, below))
+                    end = below.get("")
+                else:
+                    end = None
+                if end is None:
+                    if before + low > top:
+                        top, link = before + low, (at, -1)
+                elif before + end[0] > top:
+                    top, link = before + end[0], (at, end[1])
                 best.append(top)
                 back.append(link)
+                open_.append(reached)
+                active, before = reached, top
             last = word
             out.append(self._ids(word, back))
         return out
 
-    def words(self, distinct: list[bytes]) -> list[np.ndarray]:
-        new = sorted({w for w in distinct if w not in self.kept}, key=bytes.decode)
+    def words(self, distinct: list[bytes]) -> list[bytes]:
+        """Ids of distinct words; UTF-8 sorts as its code points do."""
+        new = sorted(w for w in distinct if w not in self.kept)
         fresh = dict(zip(new, self.segment([w.decode() for w in new]), strict=True))
         found = [x if (x := fresh.get(w)) is not None else self.kept[w] for w in distinct]
         if len(self.kept) + len(fresh) > KEPT_WORDS:
@@ -112,8 +141,8 @@ class Pieces:
         coded = words_of(shown, starts, np.append(starts[1:], len(shown))).dictionary_encode()
         kinds = self.words(coded.dictionary.to_pylist())
         codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        length = np.array([len(k) for k in kinds], np.int64)
-        flat = np.concatenate(kinds) if kinds else np.zeros(0, np.int32)
+        length = np.array([len(k) for k in kinds], np.int64) // 4
+        flat = np.frombuffer(b"".join(kinds), np.int32)
         first = np.cumsum(length) - length
         times = length[codes]
         before = np.concatenate([[0], np.cumsum(times)])
@@ -122,9 +151,9 @@ class Pieces:
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[bytes, np.ndarray]:
         """Marked texts of ids, and their offsets."""
-        size = np.array([len(x) for x in self.raw], np.int64)[ids]
-        marked = b"".join(pa.array(self.raw, pa.binary()).take(pa.array(ids)).to_pylist())
-        return marked, np.concatenate([[0], np.cumsum(size)])[offsets]
+        pieces = pa.array(self.raw, pa.large_binary()).take(pa.array(ids))
+        data = pieces.buffers()[2] if len(ids) else None
+        return b"" if data is None else data.to_pybytes(), np.concatenate([[0], np.cumsum(self.sizes[ids])])[offsets]
 
 
 def _rows(docs: DataFrame) -> DataFrame:
