@@ -3,8 +3,8 @@
 Documents of equal shingle sets fall together first. The distinct sets then descend several independent trees: a
 node selects coordinates of the minwise signature by a hash of its own path, and sends each set to the child named
 by its minwise token there, 1 / similarity children on average. Nodes of few sets are compared exhaustively by
-their signatures; nodes that stay large after the last level hold near copies of one text and are kept as a star,
-so no node makes more links than it has sets. Components of these candidate links are groups, and the full sets of
+their signatures; large nodes that hold half of the node above, or that are left after the last level, hold near
+copies of one text and are kept as a star, so no node makes more links than it has sets. Components of these candidate links are groups, and the full sets of
 a group, in blocks of bounded size, decide every link of it exactly. Components of the exact links are the classes.
 
 Nodes are sized by counts that Spark combines before shuffling; no task gathers more than a small node or two
@@ -196,7 +196,7 @@ def candidates(sets: DataFrame) -> DataFrame:
     for tree in range(TREES):
         for i in rng.choice(SIGNATURE, 1 + (tree % 4 == 0), replace=False):
             chosen.append(F.xxhash64(F.lit(tree), F.lit(int(i)), F.get("mins", F.lit(int(i)))))
-    rows = sets.select("id", F.explode(F.array(*chosen)).alias("node"))
+    rows = sets.select("id", F.explode(F.array(*chosen)).alias("node"), F.lit(None).cast("long").alias("above"))
     links = []
     for level in range(1, LEVELS + 1):
         sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least")).where("n > 1")
@@ -206,14 +206,15 @@ def candidates(sets: DataFrame) -> DataFrame:
         small = small.repartition("node").sortWithinPartitions("node")
         links.append(written(small.mapInArrow(_similar_by_signature, "a long, b long").distinct(), "candidates"))
         large = rows.where(F.col("n") > SMALL)
-        if large.isEmpty():
-            break
-        if level == LEVELS:
-            links.append(large.where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b")).distinct())
+        # a node that holds half of the one above is of one kind: further tokens would not part it
+        alike = F.lit(True) if level == LEVELS else F.coalesce(2 * F.col("n") >= F.col("above"), F.lit(False))
+        links.append(large.where(alike & (F.col("id") != F.col("least"))).select(F.col("id").alias("a"), F.col("least").alias("b")))
+        large = large.where(~alike)
+        if level == LEVELS or large.isEmpty():
             break
         picks = F.explode(F.array_compact(F.array(*_coordinates(F.col("node")))))
-        large = large.select("node", "id", picks.alias("i")).join(sets.select("id", "mins"), "id")
-        rows = large.select("id", F.xxhash64("node", "i", F.get("mins", F.col("i"))).alias("node"))
+        large = large.select("node", "id", "n", picks.alias("i")).join(sets.select("id", "mins"), "id")
+        rows = large.select("id", F.xxhash64("node", "i", F.get("mins", F.col("i"))).alias("node"), F.col("n").alias("above"))
     return reduce(DataFrame.union, links)
 
 
