@@ -200,7 +200,8 @@ def candidates(sets: DataFrame) -> DataFrame:
     links = []
     for level in range(1, LEVELS + 1):
         sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least")).where("n > 1")
-        rows = written(rows.join(sizes, "node"), "nodes")
+        # written, so that the join shuffles both sides itself: only then Spark splits the partition of a hot node
+        rows = written(rows.join(written(sizes, "sizes"), "node"), "nodes")
         small = rows.where(F.col("n") <= SMALL).select("node", "id")
         small = small.join(signed, "id").select("node", "id", "n_shingles", "sketch")
         small = small.repartition("node").sortWithinPartitions("node")
