@@ -145,7 +145,8 @@ def confident_patterns(found: DataFrame) -> DataFrame:
     # a pattern of fewer instances never marks and never lifts one: it leaves the graph
     edges = written(edges, "pii-edges")
     wide = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SUPPORT)
-    edges = written(edges.join(wide, "pattern"), "pii-graph")
+    # written, so that the join shuffles both sides itself: only then Spark splits the partition of a hot pattern
+    edges = written(edges.join(written(wide, "pii-wide"), "pattern"), "pii-graph")
     scores = edges.where("kind >= 0").select("value", "kind").distinct().withColumn("score", F.lit(1.0))
     seeds = scores
     for turn in range(ROUNDS):
