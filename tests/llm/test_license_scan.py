@@ -1,3 +1,4 @@
+import random
 import re
 
 from cases import ODD, SF, frame, words
@@ -50,3 +51,51 @@ def test_empty_table_and_query(spark):
     rows = {r.doc_id: r for r in q04_license_scan.op4_license_scan(spark, SF).collect()}
     assert len(rows) == 200 and all(0 <= r.score <= 1 for r in rows.values())
     assert all(set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) for r in rows.values())
+
+
+def example(tree, pick):
+    """A text that the parsed pattern matches; ``pick`` chooses among what it allows."""
+    out = ""
+    for op, of in tree:
+        op = str(op)
+        if op == "LITERAL":
+            out += chr(of)
+        elif op == "ANY":
+            out += '"'
+        elif op == "IN":
+            out += pick([chr(x[1] if str(x[0]) == "LITERAL" else x[1][0]) for x in of])
+        elif op == "BRANCH":
+            out += example(pick(of[1]), pick)
+        elif op == "SUBPATTERN":
+            out += example(of[-1], pick)
+        elif op == "MAX_REPEAT":
+            out += "".join(example(of[2], pick) for _ in range(pick([of[0], min(of[1], of[0] + 1)])))
+        else:
+            assert op == "ASSERT_NOT", op
+    return out
+
+
+def examples(rule, n):
+    """Texts that the rule's pattern matches, spaces as they are written."""
+    pick, tree = random.Random(rule.name).choice, re._parser.parse(rule.pattern.decode("latin-1"))
+    return [example(tree, pick).encode("latin-1") for _ in range(n)]
+
+
+def ungated(text):
+    return license_scan.suppressed([(m.start(), m.end(), r) for r, p, _ in license_scan._compiled()[0] for m in p.finditer(text)])
+
+
+def test_gated_detections_are_those_of_all_rules():
+    for rule in license_scan.rules():
+        for text in examples(rule, 3):
+            assert ungated(text) and license_scan.detections(text) == ungated(text), (rule.name, text)
+    glued = {b"released under gplv3.": "gpl-3", b"lgplv2.1": "lgpl-2.1", b"agplv3": "agpl-3", b"mplv2.0": "mpl-2.0", b"cc by-nd 4.0": "cc-by-nd-4.0"}
+    for text, label in glued.items():
+        assert label in [r.label for _, _, r in license_scan.detections(text)], text
+
+
+def test_every_match_opens_its_gates():
+    for rule in license_scan.rules():
+        for text in examples(rule, 20):
+            assert re.search(rule.pattern, text), (rule.name, text)
+            assert all(any(k in text.decode("latin-1") for k in one.split("|")) for one in rule.keywords), (rule.name, text)

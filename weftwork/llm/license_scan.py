@@ -1,7 +1,8 @@
 """License scans: ordered signature rules, gated by keywords, with priorities and interval containment.
 
-A rule is a regular expression with keywords that every match holds, a label, a priority and a confidence. One pass
-of an automaton over the lower-cased text tells which keywords occur; only rules whose keywords all do run. Where
+A rule is a regular expression with keywords that every match holds ("a|b": one of them), a label, a priority and a
+confidence. One pass of an automaton over the lower-cased text tells which keywords occur; only rules whose keywords
+all do run. Where
 detections overlap, one that lies inside another of no lower priority, or that overlaps one of a higher priority,
 is suppressed. Phrases of words (the base) are found apart from the rules and are never suppressed.
 """
@@ -11,7 +12,7 @@ from __future__ import annotations
 import bisect
 import re
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, lru_cache
 
 import ahocorasick
 import numpy as np
@@ -120,7 +121,9 @@ def rules() -> tuple[Rule, ...]:
         heads = [re.sub(r"\(\?:[^()]*\)\??|\[[^\]]*\]\??", " ", n) for n in _alternatives(names)]
         for names_one, head in zip(_alternatives(names), heads, strict=True):
             gate = max(re.split(r"[^a-z0-9]+", re.sub(r"licen ?e?", " ", head)), key=len)
-            gates = (gate,) if gate else ()
+            # what follows "cc" is a character class of space and hyphen, which _spaced leaves alone
+            gates = ("creative|cc |cc-",) if names_one.startswith("(?:creative commons|cc)[- ]+") else (gate,) if gate else ()
+            gates += ("licen",) if "licen" in head else ()
             name = f"(?<![a-z0-9])(?:{names_one})"
             for v in versions:
                 found.append(Rule(f"{label} {v} by name", (name + _VERSION % re.escape(v)).encode(), gates, f"{label}-{v}", 8, 0.95))
@@ -156,31 +159,29 @@ def _compiled():
     automaton, compiled = ahocorasick.Automaton(), []
     numbers: dict[str, int] = {}
     for rule in rules():
-        gates = [numbers.setdefault(k, len(numbers)) for k in rule.keywords]
-        compiled.append((rule, re.compile(_spaced(rule.pattern)), frozenset(gates)))
+        gates = [frozenset(numbers.setdefault(k, len(numbers)) for k in one.split("|")) for one in rule.keywords]
+        compiled.append((rule, re.compile(_spaced(rule.pattern)), gates))
     for word, number in numbers.items():
         automaton.add_word(word, number)
     automaton.make_automaton()
     return compiled, automaton
 
 
-#: One expression that every text with any detection matches; texts without it cost one search.
-_WORTH = re.compile(rb"licen[cs]e|copyright|rights reserved|public domain|(?<![a-z])(?:cc|[al]?gpl|bsd|mpl|epl|cpl|cddl|eupl|gfdl|odbl|pddl|wtfpl|mit|apache|perl artistic|odc|open ?rail)(?![a-z])|cc0|creative commons|spdx|hereby granted|without warranty|redistribut|permission to use|free software|implied warrant|in compliance|unencumbered|proprietary|not (?:be )?(?:repr|cop)|what the fuck|attribution")
-
-
 def detections(lowered: bytes) -> list[tuple[int, int, Rule]]:
     """(start, end, rule) of the detections that stay, by start; bytes of the lower-cased text."""
-    if not _WORTH.search(lowered):
-        return []
-    compiled, automaton = _compiled()
-    present = {number for _, number in automaton.iter(lowered.decode("latin-1"))}
+    _, automaton = _compiled()
     found = []
-    for rule, pattern, gates in compiled:
-        if gates <= present:
-            found += [(m.start(), m.end(), rule) for m in pattern.finditer(lowered)]
+    for rule, pattern in _open(frozenset(number for _, number in automaton.iter(lowered.decode("latin-1")))):
+        found += [(m.start(), m.end(), rule) for m in pattern.finditer(lowered)]
     return suppressed(found)
 
 
+@lru_cache(4096)
+def _open(present: frozenset[int]) -> list[tuple[Rule, re.Pattern]]:
+    """Rules and patterns whose keywords are all among the numbers of those present."""
+    return [(rule, pattern) for rule, pattern, gates in _compiled()[0] if all(gate & present for gate in gates)]
+
+
 def suppressed(found: list[tuple[int, int, Rule]]) -> list[tuple[int, int, Rule]]:
     """Without detections inside one of no lower priority (ties: the longer, then the first rule by name) or across a higher one.
 
