@@ -99,3 +99,18 @@ def test_every_match_opens_its_gates():
         for text in examples(rule, 20):
             assert re.search(rule.pattern, text), (rule.name, text)
             assert all(any(k in text.decode("latin-1") for k in one.split("|")) for one in rule.keywords), (rule.name, text)
+
+
+def test_wrapped_texts_are_found():
+    notices = {
+        b"permission is hereby\n granted, free of charge, to any person obtaining a copy": "mit",
+        b"all rights\nreserved": "proprietary",
+        b"this program is free\n   software; you can redistribute it": "gpl",
+        b"released into the public\r\n\tdomain": "public-domain",
+    }
+    for text, label in notices.items():
+        assert label in [r.label for _, _, r in license_scan.detections(text)], text
+    for rule in license_scan.rules():
+        spaced = rule.pattern if b"[" in rule.pattern else rule.pattern.replace(b" ", b"\n  ").replace(b"\n  ?", b" ?")
+        for text in examples(license_scan.Rule(rule.name, spaced, (), "", 0, 0.0), 3):
+            assert license_scan.detections(text) == ungated(text), (rule.name, text)

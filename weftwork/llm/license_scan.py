@@ -90,21 +90,21 @@ FAMILIES = [
     ("unicode", r"unicode licen[cs]e|unicode,? inc\.? licen[cs]e agreement", ("unicode-dfs-2015", "unicode-dfs-2016", "unicode-3.0"), ()),
 ]
 
-#: Signatures of texts and notices: name, pattern, keywords, label, priority, confidence.
+#: Signatures of texts and notices: name, pattern, keywords (single words, as texts wrap between them), label, priority, confidence.
 TEXTS = [
-    ("mit text", r"permission is hereby granted, free of charge, to any person obtaining a copy", ("hereby granted",), "mit", 5, 0.95),
-    ("mit no warranty", r"the software is provided .{0,3}as is.{0,3}, without warranty of any kind", ("without warranty",), "mit", 3, 0.7),
+    ("mit text", r"permission is hereby granted, free of charge, to any person obtaining a copy", ("hereby", "granted"), "mit", 5, 0.95),
+    ("mit no warranty", r"the software is provided .{0,3}as is.{0,3}, without warranty of any kind", ("without", "warranty"), "mit", 3, 0.7),
     ("bsd text", r"redistribution and use in source and binary forms", ("redistribution",), "bsd", 5, 0.95),
-    ("isc text", r"permission to use, copy, modify, and(?:/or)? distribute this software for any purpose", ("permission to use",), "isc", 5, 0.9),
-    ("gpl text", r"this program is free software[;:,] you can redistribute it", ("free software",), "gpl", 5, 0.9),
-    ("gpl warranty", r"without even the implied warranty of merchantability", ("implied warranty",), "gpl", 3, 0.6),
-    ("apache text", r"you may not use this file except in compliance with the licen[cs]e", ("in compliance",), "apache", 5, 0.9),
+    ("isc text", r"permission to use, copy, modify, and(?:/or)? distribute this software for any purpose", ("permission", "distribute"), "isc", 5, 0.9),
+    ("gpl text", r"this program is free software[;:,] you can redistribute it", ("free", "redistribute"), "gpl", 5, 0.9),
+    ("gpl warranty", r"without even the implied warranty of merchantability", ("implied", "warranty"), "gpl", 3, 0.6),
+    ("apache text", r"you may not use this file except in compliance with the licen[cs]e", ("compliance",), "apache", 5, 0.9),
     ("unlicense text", r"this is free and unencumbered software released into the public domain", ("unencumbered",), "unlicense", 5, 0.95),
     ("zlib text", r"this software is provided .{0,3}as-is.{0,3}, without any express or implied warranty", ("as-is",), "zlib", 5, 0.85),
-    ("boost text", r"permission is hereby granted, free of charge, to any person or organi[sz]ation", ("hereby granted",), "boost", 6, 0.9),
-    ("wtfpl text", r"you just do what the fuck you want to", ("do what the fuck",), "wtfpl", 5, 0.9),
-    ("public domain", r"(?:released|placed|dedicated) (?:in)?to the public domain", ("public domain",), "public-domain", 4, 0.8),
-    ("reserved", r"all rights reserved", ("all rights reserved",), "proprietary", 2, 0.5),
+    ("boost text", r"permission is hereby granted, free of charge, to any person or organi[sz]ation", ("hereby", "granted"), "boost", 6, 0.9),
+    ("wtfpl text", r"you just do what the fuck you want to", ("fuck",), "wtfpl", 5, 0.9),
+    ("public domain", r"(?:released|placed|dedicated) (?:in)?to the public domain", ("public", "domain"), "public-domain", 4, 0.8),
+    ("reserved", r"all rights reserved", ("rights", "reserved"), "proprietary", 2, 0.5),
     ("copyright", r"copyright ?(?:\xc2\xa9|\(c\))? ?(?:19|20)[0-9]{2}", ("copyright",), "copyright", 1, 0.4),
     ("proprietary", r"(?:proprietary and confidential|confidential and proprietary)", ("proprietary",), "proprietary", 4, 0.8),
     ("no redistribution", r"(?:may not|must not|do not) (?:be )?(?:redistribut|reproduc|cop)(?:e|ied|y)", ("not",), "proprietary", 3, 0.6),
