@@ -42,3 +42,13 @@ def test_odd_rows(spark):
     near = {q: [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] for q in (0, 50, 100, 105)}
     assert near == {0: [1, 2, 3, 4, 5], 50: [0, 1, 2, 3, 4], 100: [], 105: []}
     assert hilbert_ann.neighbours(frame.limit(0), frame, 5).collect() == []
+
+
+def test_repeated_rows_hide_no_neighbours(spark):
+    same = [float(i == 0) for i in range(8)]
+    for times in ([3] * 6, [12, 1, 1, 1, 1, 1]):
+        rows = [(i + 1, same) for i, n in enumerate(times) for _ in range(n)]
+        frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+        got = hilbert_ann.neighbours(frame, frame.where("vec_id in (1, 6)"), k=5).collect()
+        near = {q: [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] for q in (1, 6)}
+        assert near == {1: [2, 3, 4, 5, 6], 6: [1, 2, 3, 4, 5]}

@@ -153,9 +153,9 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 5, part: float =
     spark = vectors.sparkSession
     small_batches(spark)
     first = Window.partitionBy("embedding").orderBy("vec_id")
-    # the limit on the row number is applied by Spark before and after the shuffle
-    ranked = usable(vectors).withColumn("turn", F.row_number().over(first)).where(F.col("turn") <= 2 * k + 2)
-    kinds = ranked.groupBy("embedding").agg(F.slice(F.array_sort(F.collect_set("vec_id")), 1, k + 1).alias("ids"))
+    # repeated rows go first, so that the limit counts ids; Spark applies it before and after the shuffle
+    ranked = usable(vectors).dropDuplicates(["vec_id", "embedding"]).withColumn("turn", F.row_number().over(first)).where(F.col("turn") <= k + 1)
+    kinds = ranked.groupBy("embedding").agg(F.array_sort(F.collect_set("vec_id")).alias("ids"))
     kinds = written(kinds.select("ids", "embedding").mapInArrow(_keyed, "ids array<long>, embedding array<double>, keys array<long>"), "ann-vectors")
     asked = usable(queries).dropDuplicates(["vec_id", "embedding"])
     asked = asked.select(F.col("vec_id").alias("query"), "embedding").mapInArrow(_keyed, "query long, embedding array<double>, keys array<long>")
