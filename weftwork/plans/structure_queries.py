@@ -183,7 +183,7 @@ def loop_quota_paths(spark, sf_dir):
     edges = _edges(spark, sf_dir)
     number = F.create_map(*[x for i, n in enumerate(("signup", "view", "click", "error", "purchase")) for x in (F.lit(n), F.lit(i))])
     pairs = F.collect_set(F.struct(number[F.col("src")].alias("src"), number[F.col("dst")].alias("dst")))
-    rows = edges.where("n >= 4").groupBy("user_id").agg(pairs.alias("edges"))
+    rows = edges.groupBy("user_id").agg(pairs.alias("edges"))
     rows = rows.select("user_id", "edges", F.array(F.lit(1)).alias("loops"), F.lit(0).alias("source"), F.lit(4).alias("target"))
     return graphs.quota_paths(rows, "user_id")
 
