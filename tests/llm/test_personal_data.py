@@ -80,3 +80,20 @@ def test_query_and_empty_table(spark):
         line = ",".join(f"{list(KINDS)[k]}:{a}:{b}" for a, k, b in spans)
         assert r.base_sha256 == hashlib.sha256(line.encode()).hexdigest()
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == n for _, k, _ in spans) for n in range(4)]
+
+
+def test_tokens_without_digits_are_instances(spark):
+    # the address that no expression finds stands between the same words as sixty that are found, all without digits
+    names = [f"{a}{b}" for a in "abcdefghij" for b in "klmnop"]
+    rows = [(i, f"write mail {n}@corp.example today") for i, n in enumerate(names)]
+    rows += [(900, "write mail anna.schmidt[at]corp.example today"), (901, "plain words only")]
+    got = {r.doc_id: r for r in personal_data.entities(frame(spark, rows)).collect()}
+    assert got[900].base == [] and [tuple(s) for s in got[900].spans] == [(11, 0, 39)]
+    assert got[901].spans == []
+
+
+def test_longer_values_are_told_apart_by_their_ends(spark):
+    # two tokens share their first 64 code points; each is an instance of its own
+    rows = [(i, "x" * 70 + f"{i}") for i in range(2)]
+    found = personal_data.base_entities(frame(spark, rows))
+    assert len({r.value for r in personal_data.tokens_of(found).collect()}) == 2

@@ -1,9 +1,8 @@
 """PII by bootstrapped contextual extraction, in DataFrame functions alone.
 
 Base entities come from regular expressions: split() gives what stands between matches, regexp_extract_all() the
-matches, and running lengths their places. They seed a graph of instances (values of tokens with a digit) and
-lexical patterns (the token's shape, a name before "=" or ":", the words at its sides). In each round a pattern's
-confidence is the share of its instances that are held to be of a kind, an instance's the best of its patterns;
+matches, and running lengths their places. They seed a graph of instances (values of all tokens) and lexical patterns
+(the token's shape, a name before "=" or ":", the words at its sides). In each round a pattern's confidence is the share of its instances that are held to be of a kind, an instance's the best of its patterns;
 patterns of high confidence then mark tokens that no expression finds. Patterns are written so that matching never
 goes back over what it has read, and Java's matcher does not recurse over long texts.
 """
@@ -13,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftwork.llm.common import written
+from weftwork.llm.common import counted, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: The kinds' expressions, with possessive quantifiers and guards that leave the matches as they are.
@@ -30,37 +29,39 @@ GATES = {
     "card": lambda t: F.rlike(t, F.lit(r"(?:[0-9][\x20-]?){14}")),
     "phone": lambda t: F.contains(t, F.lit("+")),
 }
-TOKEN = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
+TOKEN = r"\S++"
 #: Rounds of scoring, weight of doubt in a pattern's confidence, least confidence and instances of a pattern that marks.
 ROUNDS, DOUBT, CONFIDENT, SUPPORT = 2, 2.0, 0.8, 5
-#: Code points beside a token in which its neighbours are looked for, and of a value or word in a pattern.
-REACH, WIDEST = 64, 64
+#: Code points of a value or word from which a hash of the whole stands for the rest.
+WIDEST = 64
+#: Matches whose places are gathered at a time: appending copies what is there.
+BLOCK = 256
+#: Values or patterns that are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 
 
 def _placed(text: Column, expression: str) -> Column:
-    """array<struct<start, end, value, before, after>> of the matches; places in code points, end exclusive."""
+    """array<struct<start, end, value>> of the matches; places in code points, end exclusive."""
     between = F.split(text, expression, -1)
     found = F.regexp_extract_all(text, F.lit(expression), F.lit(0))
-    pairs = F.zip_with(between, found, lambda b, m: F.struct(b.alias("b"), m.alias("m")))
-    pairs = F.slice(F.zip_with(pairs, F.slice(between, 2, F.size(between)), lambda p, a: F.struct(p["b"].alias("b"), p["m"].alias("m"), a.alias("a"))), 1, F.size(found))
-    start = F.struct(
-        F.lit(0).cast("long").alias("at"),
-        F.expr("cast(array() as array<struct<start: long, end: long, value: string, before: string, after: string>>)").alias("out"),
-    )
+    pairs = F.slice(F.zip_with(between, found, lambda b, m: F.struct(b.alias("b"), m.alias("m"))), 1, F.size(found))
+    none = F.expr("cast(array() as array<struct<start: long, end: long, value: string>>)")
 
     def step(state, p):
         first = state["at"] + F.length(p["b"])
         last = first + F.length(p["m"])
-        one = F.struct(
-            first.alias("start"),
-            last.alias("end"),
-            p["m"].alias("value"),
-            F.substring(p["b"], -REACH, REACH).alias("before"),
-            F.substring(p["a"], 1, REACH).alias("after"),
-        )
+        one = F.struct(first.alias("start"), last.alias("end"), p["m"].alias("value"))
         return F.struct(last.alias("at"), F.concat(state["out"], F.array(one)).alias("out"))
 
-    return F.aggregate(pairs, start, step)["out"]
+    def places(pairs):
+        def block(state, i):
+            done = F.aggregate(F.slice(pairs, i * BLOCK + 1, F.lit(BLOCK)), F.struct(state["at"].alias("at"), none.alias("out")), step)
+            return F.get(F.transform(F.array(done), lambda d: F.struct(d["at"].alias("at"), F.concat(state["out"], F.array(d["out"])).alias("out"))), F.lit(0))
+
+        start = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<array<struct<start: long, end: long, value: string>>>)").alias("out"))
+        return F.flatten(F.aggregate(F.sequence(F.lit(0), (F.size(pairs) / BLOCK).cast("int")), start, block)["out"])
+
+    return F.get(F.transform(F.array(pairs), places), F.lit(0))
 
 
 def _digits(value: Column) -> Column:
@@ -99,31 +100,37 @@ def _base(text: Column, kind: str) -> Column:
     return F.when(GATES[kind](text), spans).otherwise(_empty())
 
 
-def _patterns(token: Column) -> Column:
-    """Lexical patterns of a token: a name before its value, the value's shape, the words beside it."""
-    value = token["value"]
-    name = F.regexp_extract(value, r"^([A-Za-z_.-]{1,32}[=:])", 1)
-    bare = F.regexp_replace(F.substring(value, 1, WIDEST), r"[.,;:!?)\]}>\"']{1,8}$", "")
+def _key(value: Column) -> Column:
+    return F.when(F.length(value) > WIDEST, F.concat(F.substring(value, 1, WIDEST), F.sha2(value, 256))).otherwise(value)
+
+
+def _patterns() -> Column:
+    """Lexical patterns of a row of tokens: a name before its value, the value's shape, the words beside it."""
+    name = F.regexp_extract("text", r"^([A-Za-z_.-]{1,32}[=:])", 1)
+    bare = F.regexp_replace("text", r"[.,;:!?)\]}>\"']{1,8}$", "")
     shape = F.regexp_replace(F.regexp_replace(bare, "[0-9]", "9"), r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", "a")
-    left = F.lower(F.regexp_extract(token["before"], r"(?<!\S)(\S+)\s+$", 1))
-    right = F.lower(F.regexp_extract(token["after"], r"^\s+(\S+)", 1))
+    left, right = (_key(F.lower(F.coalesce(side, F.lit("")))) for side in ("left", "right"))
     some = lambda tag, x: F.when(x != "", F.concat(F.lit(tag), x))
-    return F.array_compact(F.array(some("name ", name), some("shape ", shape), some("sides ", F.concat(left, F.lit(" "), right))))
+    return F.array_compact(F.array(some("name ", name), some("shape ", _key(shape)), some("sides ", F.concat(left, F.lit(" "), right))))
 
 
 def _tokens(text: Column, base: Column) -> Column:
     def one(t):
         inside = F.filter(base, lambda s: (s["start"] < t["end"]) & (s["end"] > t["start"]))
-        return F.struct(
-            t["start"].alias("start"),
-            t["end"].alias("end"),
-            F.substring(t["value"], 1, WIDEST).alias("value"),
-            _patterns(t).alias("patterns"),
-            F.get(inside, F.lit(0))["kind"].alias("kind"),
-        )
+        return F.struct(t["start"].alias("start"), t["end"].alias("end"), t["value"].alias("value"), F.get(inside, F.lit(0))["kind"].alias("kind"))
+
+    return F.transform(_placed(text, TOKEN), one)
+
+
+def tokens_of(found: DataFrame) -> DataFrame:
+    """doc_id, mark, start, end, kind, text, value (its key as an instance), left and right (texts beside it) of all tokens."""
+    near = lambda i: F.get("tokens", i)["value"]
+    beside = F.transform("tokens", lambda t, i: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["kind"].alias("kind"), t["value"].alias("text"), near(i - 1).alias("left"), near(i + 1).alias("right")))
+    return found.select("doc_id", "mark", F.explode(beside).alias("t")).select("doc_id", "mark", "t.*", _key(F.col("t.text")).alias("value"))
+
 
-    none = F.expr("cast(array() as array<struct<start: long, end: long, value: string, patterns: array<string>, kind: int>>)")
-    return F.when(F.rlike(text, F.lit("[0-9]")), F.transform(_placed(text, TOKEN), one)).otherwise(none)
+def _few(keys: DataFrame) -> DataFrame:
+    return F.broadcast(keys) if counted(keys) <= BROADCAST_ROWS else keys
 
 
 def base_entities(docs: DataFrame) -> DataFrame:
@@ -139,19 +146,21 @@ def _mark(text: Column) -> Column:
 
 def confident_patterns(found: DataFrame) -> DataFrame:
     """pattern, kind and confidence of the patterns that mark; from the pattern-instance graph of all documents."""
-    tokens = found.select(F.explode("tokens").alias("t")).select("t.value", "t.patterns", "t.kind")
-    edges = tokens.select("value", F.explode("patterns").alias("pattern"), F.coalesce("kind", F.lit(-1)).alias("kind"))
-    edges = edges.groupBy("pattern", "value").agg(F.max("kind").alias("kind"))
-    # a pattern of fewer instances never marks and never lifts one: it leaves the graph
-    edges = written(edges, "pii-edges")
-    wide = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SUPPORT)
-    # written, so that the join shuffles both sides itself: only then Spark splits the partition of a hot pattern
-    edges = written(edges.join(written(wide, "pii-wide"), "pattern"), "pii-graph")
-    scores = edges.where("kind >= 0").select("value", "kind").distinct().withColumn("score", F.lit(1.0))
-    seeds = scores
+    tokens = tokens_of(found)
+    scores = tokens.where(F.col("kind").isNotNull()).select("value", "kind").distinct().withColumn("score", F.lit(1.0))
+    seeds = scores = written(scores, "pii-seeds")
     for turn in range(ROUNDS):
-        held = edges.select("pattern", "value", "n").join(scores, "value")
-        patterns = held.groupBy("pattern", "kind").agg((F.sum("score") / (F.max("n") + DOUBT)).alias("confidence"))
+        # only patterns of held values gain confidence, and a score is 1 at most: fewer of them than this never suffice
+        near = tokens.join(_few(written(scores.select("value").distinct(), "pii-held")), "value", "left_semi")
+        asked = near.select("value", F.explode(_patterns()).alias("pattern")).distinct().groupBy("pattern").agg(F.count(F.lit(1)).alias("m"))
+        asked = written(asked.where(F.col("m") >= CONFIDENT / 2 * (SUPPORT + DOUBT)).select("pattern"), "pii-asked")
+        edges = tokens.select("value", F.explode(_patterns()).alias("pattern")).join(_few(asked), "pattern", "left_semi").distinct()
+        edges = written(edges.select("pattern", "value"), "pii-edges")
+        # a pattern of fewer instances never marks and never lifts one: it leaves the graph
+        wide = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SUPPORT)
+        # written, so that the join shuffles both sides itself: only then Spark splits the partition of a hot pattern
+        edges = written(edges.join(written(wide, "pii-wide"), "pattern"), "pii-graph")
+        patterns = edges.join(scores, "value").groupBy("pattern", "kind").agg((F.sum("score") / (F.max("n") + DOUBT)).alias("confidence"))
         patterns = patterns.where(F.col("confidence") >= CONFIDENT / 2)
         if turn + 1 < ROUNDS:
             lifted = edges.select("pattern", "value").join(patterns, "pattern").groupBy("value", "kind").agg(F.max("confidence").alias("score"))
@@ -166,11 +175,10 @@ def entities(docs: DataFrame) -> DataFrame:
     texts have empty arrays; repeated rows get the same spans each; documents with null ids take part.
     """
     found = written(base_entities(docs), "pii-base")
-    patterns = confident_patterns(found)
+    patterns = written(confident_patterns(found), "pii-patterns")
     # rows that share id and text have the same tokens: the distinct ones are enough
-    open_ = found.select("doc_id", "mark", F.explode("tokens").alias("t")).where("t.kind is null")
-    open_ = open_.select("doc_id", "mark", "t.start", "t.end", F.explode("t.patterns").alias("pattern"))
-    best = open_.join(patterns, "pattern").groupBy("doc_id", "mark", "start", "end").agg(F.max(F.struct("confidence", (-F.col("kind")).alias("k"))).alias("b"))
+    open_ = tokens_of(found).where(F.col("kind").isNull()).select("doc_id", "mark", "start", "end", F.explode(_patterns()).alias("pattern"))
+    best = open_.join(_few(patterns), "pattern").groupBy("doc_id", "mark", "start", "end").agg(F.max(F.struct("confidence", (-F.col("kind")).alias("k"))).alias("b"))
     one = F.struct("start", (-F.col("b.k")).cast("int").alias("kind"), "end")
     more = best.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_set(one)).alias("more"))
     more = more.select(F.col("doc_id").alias("_d"), F.col("mark").alias("_m"), "more")
