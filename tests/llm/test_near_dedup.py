@@ -38,7 +38,65 @@ def test_odd_documents(spark):
         assert rows(near_dedup.classes(frame(spark, ODD), size)) == brute(ODD, size)
     assert near_dedup.classes(frame(spark, [])).collect() == []
     kept = near_dedup.deduplicated(frame(spark, ODD))
-    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(i) for i, _ in ODD if i != 6)
+    assert kept.columns == frame(spark, ODD).columns
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted({str(i) for i, _ in ODD if i != 6})
+
+
+def test_rows_that_share_an_id_are_judged_by_their_texts(spark):
+    one, two = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
+    docs = [(1, one), (2, one), (2, two), (3, two.upper()), (4, None), (4, ""), (4, None), (None, one), (None, two), (7, one), (7, one)]
+    kept = near_dedup.deduplicated(frame(spark, docs)).collect()
+    assert sorted((str(r.doc_id), str(r.text)) for r in kept) == sorted(
+        (str(i), str(t)) for i, t in [(1, one), (2, two), (4, None), (4, ""), (4, None), (None, one), (None, two)]
+    )
+
+
+def test_large_groups_by_deviations(spark):
+    """One group of two families, heavily changed copies of them that only meet each other, and unlike documents."""
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(300)]
+
+    def changed(text, n):
+        out = list(text)
+        for at in rng.sample(range(len(out)), n):
+            out[at] = rng.choice(words)
+        return out
+
+    base = [rng.choice(words) for _ in range(80)]
+    other = changed(base, 9)
+    texts = [changed(base, rng.randrange(0, 9)) for _ in range(40)] + [changed(other, rng.randrange(0, 9)) for _ in range(40)]
+    texts += [changed(t, rng.randrange(0, 5)) for t in rng.sample(texts, 30)]
+    texts += [base[:40] + [rng.choice(words) for _ in range(40)] for _ in range(15)]
+    texts += [t[: rng.randrange(55, 80)] for t in rng.sample(texts, 20)]
+    texts += [t + [rng.choice(words) for _ in range(rng.randrange(5, 30))] for t in rng.sample(texts, 20)]
+    docs = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    for size in (1, 2):
+        found = near_dedup.features(frame(spark, docs), size)
+        sets = found.select(F.col("hi").alias("id"), F.col("key.doc_id").alias("doc_id"), "n_shingles", "sketch").dropDuplicates(["id"])
+        groups = near_dedup.written(sets.withColumn("component", F.lit(0).cast("long")), "group")
+        by_id = {r.id: r.doc_id for r in groups.collect()}
+        members = groups.select("component", "id", "sketch")
+        whole = near_dedup.written(near_dedup.group_sets(frame(spark, docs), groups, size).join(groups.select("id", "component"), "id"), "whole")
+        plain = {i: shingles(dict(docs)[d], size) for i, d in by_id.items()}
+        ids = sorted(plain)
+        want = {(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if 100 * len(plain[a] & plain[b]) >= 80 * len(plain[a] | plain[b])}
+        links = [(r.a, r.b) for part in near_dedup._large_group_links(members, whole, 80) for r in part.collect()]
+        assert {tuple(sorted(x)) for x in links} <= want
+        assert classes_of(ids, links) == classes_of(ids, want) and 1 < len(set(classes_of(ids, want).values())) < len(ids)
+
+
+def classes_of(ids, links):
+    root = {i: i for i in ids}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in links:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    return {i: find(i) for i in ids}
 
 
 def test_large_groups_of_near_copies(spark, monkeypatch):
@@ -59,8 +117,7 @@ def test_large_groups_of_near_copies(spark, monkeypatch):
         chain[rng.randrange(50)] = rng.choice(words)
     docs += [(9000 + k, " ".join(rng.choice(words) for _ in range(30))) for k in range(60)]
     monkeypatch.setattr(near_dedup, "SMALL", 16)
-    monkeypatch.setattr(near_dedup, "BLOCK", 32)
-    monkeypatch.setattr(near_dedup, "LEVELS", 2)
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
     assert rows(near_dedup.classes(frame(spark, docs), 2)) == brute(docs, 2)
 
 

@@ -6,9 +6,15 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftwork.llm.files import Store
+
+#: Type of what ``keyed`` tells rows apart by.
+KEY = "struct<doc_id: long, mark: struct<a: long, b: int, c: int>>"
+#: Keys that are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 1 << 18
 #: Bytes of text that a Python worker gathers before it computes; one longer document is a block alone.
 BLOCK_BYTES = 4 << 20
 
@@ -30,9 +36,11 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under the cluster's spark.checkpoint.dir; a local one where none is set (tests)."""
+    """A new folder under the cluster's spark.checkpoint.dir; where none is set, one of a single machine, which only a local session may use."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file:///tmp/checkpoints"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -42,7 +50,39 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.written_at = path
+    return found
+
+
+def released(*tables: DataFrame) -> None:
+    """The tables that ``written`` made go from the shared folder; what was made of them has been written itself."""
+    for df in tables:
+        Store(df.sparkSession, df.written_at).delete("")
+
+
+def text_mark(text: Column) -> Column:
+    """What tells texts apart: 96 bits of hashes, and the length."""
+    return F.struct(F.xxhash64(text).alias("a"), F.hash(text).alias("b"), F.length(text).alias("c"))
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """key (doc_id and the text's mark: a row up to repetition) and text of every row."""
+    text = F.col("text").cast("string")
+    return docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), text_mark(text).alias("mark")).alias("key"), text.alias("text"))
+
+
+def few(keys: DataFrame) -> DataFrame:
+    """``keys`` (a written table), broadcast if they are BROADCAST_ROWS at most, else joined by a shuffle."""
+    return F.broadcast(keys) if counted(keys) <= BROADCAST_ROWS else keys
+
+
+def without(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """``docs`` without the rows that ``keys`` (key, as ``keyed`` makes them) name; null ids are ids, other columns stay."""
+    gone = few(written(keys.select(F.col("key").alias("_gone")).distinct(), "gone"))
+    text = docs["text"].cast("string")
+    own = F.struct(docs["doc_id"].cast("long").alias("doc_id"), text_mark(text).alias("mark"))
+    return docs.join(gone, own.eqNullSafe(F.col("_gone")), "left_anti")
 
 
 def text_blocks(batches, limit: int = BLOCK_BYTES):

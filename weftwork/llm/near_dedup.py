@@ -3,33 +3,46 @@
 Documents of equal shingle sets fall together first. The distinct sets then descend several independent trees: a
 node selects coordinates of the minwise signature by a hash of its own path, and sends each set to the child named
 by its minwise token there, 1 / similarity children on average. Nodes of few sets are compared exhaustively by
-their signatures; large nodes that hold half of the node above, or that are left after the last level, hold near
-copies of one text and are kept as a star, so no node makes more links than it has sets. Components of these candidate links are groups, and the full sets of
-a group, in blocks of bounded size, decide every link of it exactly. Components of the exact links are the classes.
-
-Nodes are sized by counts that Spark combines before shuffling; no task gathers more than a small node or two
-blocks, no pairs are written but forests of links, and nothing about all documents comes to the driver.
+their signatures. In a large node all sets are compared with one of them: those that agree well are tied to it and
+go no further, the others branch on. So no node makes more links than it has sets. Components of these candidate
+links are groups; trees are repeated until a pair at the threshold meets in one with the probability RECALL.
+
+Full sets decide every link of a group. A small group is one block, compared exhaustively. In a large group every
+set is compared with a few pivots, which settles the sets that a pivot is linked to. A link between others takes
+words in common that the first pivot lacks, or lacks in common that it has: sets are written as deviations from
+it, and prefixes of these, rarest first, find all pairs that can reach the similarity, without comparing the rest.
+Components of the exact links are the classes.
+
+Nodes are sized by counts that Spark combines before shuffling; no task gathers more than a small node or a small
+group, no pairs are written but links and candidates, and nothing about all documents comes to the driver.
 """
 
 from __future__ import annotations
 
 import hashlib
-from functools import reduce
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftwork.llm.common import LOWER_BYTES, small_batches, text_blocks, word_spans, words_of, written
-
-#: Coordinates of the minwise signature, independent trees, levels of a tree, sets of a small node, sets of a block.
-SIGNATURE, TREES, LEVELS, SMALL, BLOCK = 64, 12, 6, 64, 128
-#: Signature coordinates in common from which sets are candidates: 4.4 standard deviations below a similarity of 0.8.
-AGREE = 37
-#: Ids that may be broadcast; more are joined by shuffle.
-BROADCAST_ROWS = 1 << 20
+from weftwork.llm.common import KEY, LOWER_BYTES, counted, few, keyed, released, small_batches, text_blocks, text_mark, without, word_spans, words_of, written
+
+#: Coordinates of the minwise signature, levels of a tree, sets of a small node.
+SIGNATURE, LEVELS, SMALL = 64, 8, 64
+#: Sets of a small group, and shingles of all its sets together.
+BLOCK, BLOCK_SHINGLES = 128, 1 << 21
+#: Signature coordinates in common from which sets are candidates: 4.4 standard deviations below a similarity of 0.8;
+#: and from which one that is tied to a large node's pivot goes no further.
+AGREE, CLOSE = 37, 45
+#: Part of the pairs at the threshold that meet in some tree, and levels that they need for it.
+RECALL, DEPTH = 0.999, 5
+#: Sets of a large group from which its pivots are chosen, pivots, and coordinates in common that a pivot stands for.
+SAMPLE, PIVOTS, STANDS = 64, 6, 47
+#: Classes of deviation: lower ends, as shares of what a set at the threshold deviates.
+STEPS = (0.5, 1.0, 2.0, 4.0)
 SHINGLE, SIMILARITY = 5, 80
 
 _SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
@@ -77,47 +90,54 @@ def _signature(found: np.ndarray) -> np.ndarray:
 
 
 def features(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, hi and lo (128 bits of the set), mins (array of ints) and sketch (their low bytes) of every row."""
+    """key, n_shingles, hi and lo (128 bits of the set), mins (array of ints) and sketch (their low bytes) of every row."""
     small_batches(docs.sparkSession)
 
     def scan(batches):
         for ids, raw, offsets in text_blocks(batches):
             sets = shingle_sets(raw, offsets, size)
-            keys = np.array([np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64) for s in sets])
+            keys = np.array([_digest(s) for s in sets])
             mins = np.concatenate([_signature(s) for s in sets])
             rows = pa.array(np.arange(0, len(mins) + 1, SIGNATURE), pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [
-                    ids.cast(pa.int64()),
+                    ids,
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array(np.ascontiguousarray(keys[:, 0])),
                     pa.array(np.ascontiguousarray(keys[:, 1])),
                     pa.ListArray.from_arrays(rows, pa.array(mins, pa.int32())),
                     pa.array([x.tobytes() for x in mins.astype(np.uint8).reshape(-1, SIGNATURE)], pa.binary()),
                 ],
-                ["doc_id", "n_shingles", "hi", "lo", "mins", "sketch"],
+                ["key", "n_shingles", "hi", "lo", "mins", "sketch"],
             )
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(scan, "doc_id long, n_shingles long, hi long, lo long, mins array<int>, sketch binary")
+    return keyed(docs).mapInArrow(scan, f"key {KEY}, n_shingles long, hi long, lo long, mins array<int>, sketch binary")
+
+
+def _digest(found: np.ndarray) -> np.ndarray:
+    return np.frombuffer(hashlib.blake2b(found.tobytes(), digest_size=16).digest(), np.int64)
 
 
 def _star_rounds(edges: DataFrame) -> DataFrame:
-    """Edges (u, v) with u > v of the same components, until every u has one edge, to its component's smallest id."""
+    """Edges (u, v) with u > v of the same components, until every u has one edge, to its component's smallest id.
+
+    Minima are written before they are joined: only then Spark splits the partition of a hub.
+    """
     edges = written(edges.distinct(), "links")
     seen = None
     while True:
         state = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
         if state == seen or not state[0]:
             return edges
-        seen = state
+        seen, old = state, edges
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        small = small.select("u", F.col("m").alias("v")).union(small.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        edges = written(small.distinct(), "links")
+        low = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")), "low")
+        large = written(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        small = least.select("u", F.col("m").alias("v"))
+        again = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = written(small.union(again).distinct(), "links")
+        released(old, low, large, least)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -188,52 +208,77 @@ def _coordinates(seed) -> list:
     return [draw(0), F.when(F.pmod(F.xxhash64(seed, F.lit(9)), F.lit(4)) == 0, draw(1))]
 
 
-def candidates(sets: DataFrame) -> DataFrame:
+@cache
+def trees(similarity: int) -> int:
+    """Trees in one of which a pair at the threshold stays together for DEPTH levels with the probability RECALL.
+
+    A node has one child always and another in a quarter of the cases; a pair shares a child if it agrees there.
+    """
+    agree, apart = similarity / 100, 0.0
+    for _ in range(DEPTH):
+        lost = 1 - agree + agree * apart
+        apart = 0.75 * lost + 0.25 * lost**2
+    return int(np.ceil(np.log(1 - RECALL) / np.log(apart)))
+
+
+def _near_pivot(batches):
+    """Sets of large nodes that are candidates of the node's pivot, and whether they branch on; rows: node, id, n, pivot, sketch, other."""
+    for batch in batches:
+        own, other = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (4, 5))
+        same = (own == other).sum(axis=1)
+        a, b = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 3))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array((same >= AGREE) & (a != b)), pa.array((same < CLOSE) & (a != b))], ["node", "id", "n", "pivot", "tied", "on"])
+
+
+def candidates(sets: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """Candidate links (a, b) of distinct ``sets`` (id, n_shingles, mins, sketch): forests and stars, linear in the nodes' sizes."""
     signed = sets.select("id", "n_shingles", "sketch")
     rng = np.random.default_rng(5)
     chosen = []
-    for tree in range(TREES):
+    for tree in range(trees(similarity)):
         for i in rng.choice(SIGNATURE, 1 + (tree % 4 == 0), replace=False):
             chosen.append(F.xxhash64(F.lit(tree), F.lit(int(i)), F.get("mins", F.lit(int(i)))))
-    rows = sets.select("id", F.explode(F.array(*chosen)).alias("node"), F.lit(None).cast("long").alias("above"))
+    rows = sets.select("id", F.explode(F.array(*chosen)).alias("node"))
     links = []
     for level in range(1, LEVELS + 1):
-        sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least")).where("n > 1")
+        # one of a node's sets, another in each tree: the smallest after its bits are turned by the node's
+        least = F.min(F.col("id").bitwiseXOR(F.col("node"))).alias("least")
+        sizes = written(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), least).where("n > 1"), "sizes")
         # written, so that the join shuffles both sides itself: only then Spark splits the partition of a hot node
-        rows = written(rows.join(written(sizes, "sizes"), "node"), "nodes")
+        rows = written(rows.join(sizes.select("node", "n"), "node"), "nodes")
         small = rows.where(F.col("n") <= SMALL).select("node", "id")
         small = small.join(signed, "id").select("node", "id", "n_shingles", "sketch")
         small = small.repartition("node").sortWithinPartitions("node")
         links.append(written(small.mapInArrow(_similar_by_signature, "a long, b long").distinct(), "candidates"))
         large = rows.where(F.col("n") > SMALL)
-        # a node that holds half of the one above is of one kind: further tokens would not part it
-        alike = F.lit(True) if level == LEVELS else F.coalesce(2 * F.col("n") >= F.col("above"), F.lit(False))
-        links.append(large.where(alike & (F.col("id") != F.col("least"))).select(F.col("id").alias("a"), F.col("least").alias("b")))
-        large = large.where(~alike)
-        if level == LEVELS or large.isEmpty():
+        if large.isEmpty():
+            released(sizes, rows)
             break
+        pivots = sizes.where(F.col("n") > SMALL).select("node", F.col("least").bitwiseXOR(F.col("node")).alias("pivot"))
+        pivots = pivots.join(signed.select(F.col("id").alias("pivot"), F.col("sketch").alias("other")), "pivot")
+        pivots = written(pivots, "node-pivots")
+        large = large.join(signed.select("id", "sketch"), "id").join(pivots, "node").select("node", "id", "n", "pivot", "sketch", "other")
+        large = written(large.mapInArrow(_near_pivot, "node long, id long, n long, pivot long, tied boolean, on boolean"), "large-nodes")
+        links.append(large.where("tied").select(F.col("id").alias("a"), F.col("pivot").alias("b")))
         picks = F.explode(F.array_compact(F.array(*_coordinates(F.col("node")))))
-        large = large.select("node", "id", "n", picks.alias("i")).join(sets.select("id", "mins"), "id")
-        rows = large.select("id", F.xxhash64("node", "i", F.get("mins", F.col("i"))).alias("node"), F.col("n").alias("above"))
+        on = large.where("on").select("node", "id", picks.alias("i")).join(sets.select("id", "mins"), "id")
+        on = on.select("id", F.xxhash64("node", "i", F.get("mins", F.col("i"))).alias("node"))
+        released(sizes, rows, pivots)
+        rows = on
     return reduce(DataFrame.union, links)
 
 
 def _exact(similarity: int):
     def scan(batches):
-        """Forests of the exact links of a group; rows: group, cross, side, id, set; sorted by group."""
+        """Forests of the exact links of small groups; rows: group, id, hashes; sorted by group."""
         for batch in _whole_groups(batches):
-            group = batch.column(0).to_numpy(zero_copy_only=False)
+            group, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             cuts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
-            cross, side, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
-            sets = batch.column(4)
+            hashes = batch.column(2)
+            ends, flat = np.asarray(hashes.offsets), hashes.values.to_numpy(zero_copy_only=False)
             out_a, out_b = [], []
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                own = [np.frombuffer(x.as_buffer(), np.uint64) for x in sets.slice(lo, hi - lo)]
-                a, b = _linked(own, similarity)
-                if cross[lo]:
-                    keep = side[lo + a] != side[lo + b]
-                    a, b = a[keep], b[keep]
+                a, b = _linked([flat[ends[i] : ends[i + 1]] for i in range(lo, hi)], similarity)
                 root = _joined(a, b, hi - lo)
                 row = np.flatnonzero(root != np.arange(hi - lo))
                 out_a.append(ids[lo + row])
@@ -267,38 +312,143 @@ def _linked(sets: list[np.ndarray], similarity: int) -> tuple[np.ndarray, np.nda
     return a, b
 
 
+def group_sets(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
+    """id and hashes (array of longs, sorted) of the sets of ``members`` (id, doc_id of a document that has the set)."""
+    small_batches(docs.sparkSession)
+    texts = keyed(docs).where(F.col("key.doc_id").isNotNull())
+    owners = few(written(members.select(F.col("doc_id").alias("_owner")).distinct(), "owners"))
+    texts = texts.join(owners, F.col("key.doc_id") == F.col("_owner"), "left_semi")
+
+    def scan(batches):
+        for _, raw, offsets in text_blocks(batches):
+            found = [s for s in shingle_sets(raw, offsets, size) if len(s)]
+            ids = np.array([_digest(s)[0] for s in found], np.int64)
+            ends = np.concatenate([[0], np.cumsum([len(s) for s in found])])
+            flat = np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["id", "hashes"])
+
+    return texts.mapInArrow(scan, "id long, hashes array<long>")
+
+
+def _covering(batches):
+    """Pivots of large groups; rows: component, sample (list of id and sketch)."""
+    for batch in batches:
+        found = []
+        for row in batch.to_pylist():
+            ids = [x["id"] for x in row["sample"]]
+            sketch = np.frombuffer(b"".join(x["sketch"] for x in row["sample"]), np.uint8).reshape(len(ids), -1)
+            same = (sketch[:, None] == sketch[None]).sum(axis=2)
+            left = np.ones(len(ids), bool)
+            for turn in range(PIVOTS):
+                stands = ((same >= STANDS) & left).sum(axis=1)
+                best = int(np.lexsort((np.array(ids), -same.sum(axis=1), -stands))[0])
+                if turn and stands[best] < 2:
+                    break
+                found.append((row["component"], turn, ids[best]))
+                left &= same[best] < STANDS
+        columns = list(zip(*found, strict=True)) or [(), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64()), strict=True)], ["component", "turn", "pivot"])
+
+
+def _large_group_links(members: DataFrame, sets: DataFrame, similarity: int) -> list[DataFrame]:
+    """Links (a, b) that give the exact classes of large groups; ``members``: component, id, sketch; ``sets``: component, id, hashes."""
+    order = Window.partitionBy("component").orderBy(F.xxhash64("id"), "id")
+    sample = members.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= SAMPLE)  # limited before the shuffle too
+    sample = sample.groupBy("component").agg(F.collect_list(F.struct("id", "sketch")).alias("sample"))
+    pivots = sample.mapInArrow(_covering, "component long, turn int, pivot long")
+    pivots = pivots.join(sets.select(F.col("id").alias("pivot"), F.col("hashes").alias("whole")), "pivot")
+    pivots = written(pivots.select("component", "turn", "pivot", "whole"), "pivots")
+    removed, added = F.array_except("whole", "hashes"), F.array_except("hashes", "whole")
+    deviations = F.when(F.col("turn") == 0, F.concat(added, F.transform(removed, F.bitwise_not)))
+    near = sets.join(pivots, "component").select(
+        "component", "id", "pivot", "turn",
+        F.size("hashes").cast("long").alias("n"), F.size("whole").cast("long").alias("p"),
+        F.size(F.array_intersect("hashes", "whole")).cast("long").alias("shared"), deviations.alias("dev"),
+    )
+    near = written(near, "pivoted")
+    reached = 100 * F.col("shared") >= similarity * (F.col("n") + F.col("p") - F.col("shared"))
+    stars = near.where(reached & (F.col("id") != F.col("pivot"))).select(F.col("id").alias("a"), F.col("pivot").alias("b"))
+    found = components(stars).select("id", F.col("component").alias("label"))
+    # what a set deviates beyond one at the threshold: of two sets that are linked but not by the pivot, one is above 0
+    excess = 100 * (F.col("p") - F.col("shared")) + similarity * (F.col("n") - F.col("shared")) - (100 - similarity) * F.col("p")
+    own = near.where("turn = 0").select("component", "id", "n", "p", "shared", "dev", excess.alias("excess"))
+    own = written(own.join(found, "id", "left").withColumn("label", F.coalesce("label", "id")), "deviations")
+    open_ = own.groupBy("component").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l < m").select("component")
+    own = own.join(few(written(open_, "open-groups")), "component", "left_semi")
+    tokens = own.select("component", "id", F.explode("dev").alias("token"))
+    counts = tokens.groupBy("component", "token").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    tokens = tokens.join(written(counts, "token-counts"), ["component", "token"], "left")
+    rare = F.array_sort(F.collect_list(F.struct(F.coalesce("times", F.lit(1)).alias("times"), "token")))["token"]
+    ranked = tokens.groupBy("id").agg(rare.alias("tokens"))
+    rows = written(own.drop("dev").join(ranked, "id"), "ranked")
+    steps = [F.lit(1), *[F.ceil(F.lit(s) * (100 - similarity) * F.col("p")) for s in STEPS]]
+    kind = reduce(lambda a, b: a + b, [(F.col("excess") >= s).cast("int") for s in steps])
+    # a linked set has all but so many of one's deviations
+    apart = F.floor(F.col("n") * (100 - similarity) / similarity)
+    spent = 100 * (F.col("p") - F.col("shared")) + similarity * (F.col("n") - F.col("shared"))
+    size = F.size("tokens")
+
+    def prefix(least):
+        return F.slice("tokens", 1, F.greatest(F.lit(0), F.least(size - F.ceil(least / (100 + similarity)) + 1, apart + 1, size).cast("int")))
+
+    rows = rows.withColumn("kind", kind)
+    strong = rows.where("excess > 0").select("component", "label", "id", "n", "kind", F.explode(prefix(F.col("excess"))).alias("token"))
+    weak = F.array(*[F.when(F.col("kind") <= k, F.struct(F.lit(k).alias("kind"), prefix(steps[k - 1] + spent).alias("tokens"))) for k in range(1, len(steps) + 1)])
+    weak = rows.select("component", "label", "id", "n", F.explode(F.array_compact(weak)).alias("w"))
+    weak = weak.select("component", F.col("label").alias("label2"), F.col("id").alias("id2"), F.col("n").alias("n2"), "w.kind", F.explode("w.tokens").alias("token"))
+    # tokens of one class make no pair
+    mixed = strong.select("component", "kind", "token", "label").union(weak.select("component", "kind", "token", "label2"))
+    mixed = mixed.groupBy("component", "kind", "token").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l < m")
+    mixed = written(mixed.select("component", "kind", "token"), "mixed")
+    by = ["component", "kind", "token"]
+    pairs = strong.join(mixed, by, "left_semi").join(weak.join(mixed, by, "left_semi"), by).where("label <> label2")
+    pairs = pairs.where(similarity * F.greatest("n", "n2") <= 100 * F.least("n", "n2"))
+    pairs = written(pairs.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct(), "pairs")
+    kept = lambda x: own.select(*[F.col(c).alias(f"{x}_{c}") for c in ("id", "n", "p", "shared", "dev")])
+    checked = pairs.join(kept("a"), F.col("a") == F.col("a_id")).join(kept("b"), F.col("b") == F.col("b_id"))
+    # words in common: those of the pivot that neither lacks, and the others that both have
+    both = F.col("a_shared") + F.col("b_shared") - F.col("a_p") + F.size(F.array_intersect("a_dev", "b_dev"))
+    checked = checked.where(100 * both >= similarity * (F.col("a_n") + F.col("b_n") - both)).select("a", "b")
+    return [stars, checked]
+
+
 def exact_links(docs: DataFrame, groups: DataFrame, size: int, similarity: int) -> DataFrame:
-    """Forests (a, b) of the exact links inside ``groups`` (id, component), from the whole texts of ``docs``.
+    """Links (a, b) that give the exact classes inside ``groups`` (id, component, doc_id, n_shingles, sketch), from whole texts."""
+    total = groups.groupBy("component").agg(F.count(F.lit(1)).alias("sets"), F.sum("n_shingles").alias("shingles"))
+    total = written(total.select("component", ((F.col("sets") > BLOCK) | (F.col("shingles") > BLOCK_SHINGLES)).alias("large")), "group-sizes")
+    members = written(groups.join(total, "component"), "members")
+    placed = few(written(members.select("id", "component", "large"), "placed"))
+    sets = written(group_sets(docs, members, size).join(placed, "id"), "group-sets")
+    if counted(sets) != counted(members):  # repeated rows
+        sets = written(sets.dropDuplicates(["id"]), "group-sets")
+    small = sets.where("not large").select("component", "id", "hashes").repartition("component").sortWithinPartitions("component")
+    links = [small.mapInArrow(_exact(similarity), "a long, b long").distinct()]
+    if not total.where("large").isEmpty():
+        links += _large_group_links(members.where("large").select("component", "id", "sketch"), sets.where("large").select("component", "id", "hashes"), similarity)
+    return reduce(DataFrame.union, links)
 
-    A group of more than BLOCK sets is cut into blocks by hash; every two blocks meet once.
-    """
-    groups = written(groups, "groups")
-    few = groups.count() <= BROADCAST_ROWS
-    counts = groups.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    placed = groups.join(counts, "component").withColumn("blocks", blocks)
-    placed = written(placed.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), "blocks")
-    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    rows = rows.join(F.broadcast(groups.select("id")) if few else groups.select("id"), "id")
-
-    def sets(batches):
-        for ids, raw, offsets in text_blocks(batches):
-            found = [s.tobytes() for s in shingle_sets(raw, offsets, size)]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(found, pa.binary())], ["id", "hashes"])
-
-    rows = rows.mapInArrow(sets, "id long, hashes binary").where(F.length("hashes") > 0).join(placed, "id")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    rows = rows.select("id", "hashes", "component", "block", other)
-    pair = F.xxhash64("component", F.least("block", "other"), F.greatest("block", "other"))
-    rows = rows.select(
-        pair.alias("pair"),
-        (F.col("block") != F.col("other")).cast("int").alias("cross"),
-        (F.col("block") > F.col("other")).cast("int").alias("side"),
-        "id",
-        "hashes",
-    )
-    rows = rows.repartition("pair").sortWithinPartitions("pair")
-    return rows.mapInArrow(_exact(similarity), "a long, b long").distinct()
+
+def _classes(docs: DataFrame, size: int, similarity: int) -> DataFrame:
+    """key, n_shingles, hi, lo, component_id and kept of every row."""
+    found = written(features(docs, size).withColumn("doc_id", F.col("key.doc_id")), "shingles")
+    full = found.where("n_shingles > 0 and doc_id is not null")
+    owners = written(full.groupBy("hi", "lo").agg(F.min("doc_id").alias("own")), "owners")
+    # a set is known by 64 bits of its digest, and stands for the documents that have it
+    sets = full.join(owners.select("own", F.col("hi").alias("h"), F.col("lo").alias("l")), (F.col("doc_id") == F.col("own")) & (F.col("hi") == F.col("h")) & (F.col("lo") == F.col("l")))
+    sets = written(sets.select(F.col("hi").alias("id"), "doc_id", "n_shingles", "mins", "sketch"), "sets")
+    if counted(sets) != counted(owners):  # repeated rows
+        sets = written(sets.dropDuplicates(["id"]), "sets")
+    groups = components(candidates(sets, similarity)).join(sets.select("id", "doc_id", "n_shingles", "sketch"), "id")
+    linked = written(components(exact_links(docs, groups, size, similarity)), "linked")
+    named = linked.join(owners.select(F.col("hi").alias("id"), "lo", "own"), "id")
+    least = named.groupBy("component").agg(F.min("own").alias("least"))
+    named = named.join(least, "component").select(F.col("id").alias("h"), F.col("lo").alias("l"), "least")
+    named = owners.join(named, (F.col("hi") == F.col("h")) & (F.col("lo") == F.col("l")), "left")
+    named = written(named.select("hi", "lo", F.coalesce("least", "own").alias("least")), "named")
+    rows = found.select("key", "doc_id", "n_shingles", "hi", "lo").join(named, ["hi", "lo"], "left")
+    own = F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id"))
+    rows = rows.select("key", "doc_id", "n_shingles", "hi", "lo", F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
+    return rows.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def classes(docs: DataFrame, size: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
@@ -306,23 +456,27 @@ def classes(docs: DataFrame, size: int = SHINGLE, similarity: int = SIMILARITY)
 
     Documents with 100 * intersection >= similarity * union of their sets of shingles are linked. Null, empty and
     blank texts have no shingles and are linked with nothing; rows with a null doc_id have no component and are
-    kept; rows that share a doc_id share their links; other columns are ignored.
+    kept; rows that share a doc_id but not a set are linked each by its own; other columns are ignored.
     """
-    found = written(features(docs, size), "shingles")
-    full = found.where("n_shingles > 0 and doc_id is not null")
-    owners = written(full.groupBy("hi", "lo").agg(F.min("doc_id").alias("id")), "owners")
-    sets = full.join(owners.select("id", F.col("hi").alias("h"), F.col("lo").alias("l")), (F.col("doc_id") == F.col("id")) & (F.col("hi") == F.col("h")) & (F.col("lo") == F.col("l")))
-    sets = written(sets.select("id", "n_shingles", "mins", "sketch"), "sets")
-    groups = components(candidates(sets))
-    linked = components(exact_links(docs, groups, size, similarity))
-    named = owners.join(linked, "id", "left").select("hi", "lo", F.coalesce("component", "id").alias("least"))
-    rows = found.select("doc_id", "n_shingles", "hi", "lo").join(named, ["hi", "lo"], "left")
-    own = F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id"))
-    rows = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
-    return rows.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return _classes(docs, size, similarity).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def deduplicated(docs: DataFrame, size: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
-    """``docs`` with one document of each class, that of the smallest doc_id; rows of null doc_id stay."""
-    gone = classes(docs, size, similarity).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs.doc_id == F.col("_gone"), "left_anti")
+    """``docs`` with one row of each class, of the smallest doc_id; rows without shingles or with a null doc_id stay.
+
+    Rows are dropped by id and text: of rows that share an id each is judged by its own text. Of rows that share id
+    and set one stays, that of the smallest mark; of wholly equal texts among them the first that Spark meets.
+    """
+    found = written(_classes(docs, size, similarity), "classes")
+    gone = found.where("not kept").select("key")
+    own = found.where("kept and doc_id is not null and n_shingles > 0")
+    again = written(own.groupBy("doc_id", "hi", "lo").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "repeated")
+    if again.isEmpty():
+        return without(docs, gone)
+    rows = own.join(again, ["doc_id", "hi", "lo"])
+    first = rows.groupBy("doc_id", "hi", "lo").agg(F.min("key").alias("first"))
+    rows = written(rows.join(first, ["doc_id", "hi", "lo"]).select("key", (F.col("key") == F.col("first")).alias("stays")), "repeated-rows")
+    name = few(written(rows.where("stays").select(F.col("key").alias("_one")).distinct(), "repeated-keys"))
+    one = F.struct(docs["doc_id"].cast("long").alias("doc_id"), text_mark(docs["text"].cast("string")).alias("mark"))
+    ones = docs.join(name, one == F.col("_one"), "left_semi").dropDuplicates(["doc_id", "text"])
+    return without(docs, gone.union(rows.select("key"))).union(ones)
