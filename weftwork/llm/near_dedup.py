@@ -42,7 +42,9 @@ RECALL, DEPTH = 0.999, 5
 #: Sets of a large group from which its pivots are chosen, pivots, and coordinates in common that a pivot stands for.
 SAMPLE, PIVOTS, STANDS = 64, 6, 47
 #: Classes of deviation: lower ends, as shares of what a set at the threshold deviates.
-STEPS = (0.5, 1.0, 2.0, 4.0)
+STEPS = (0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 4.0)
+#: Sets that one of a large group is compared with for each deviation that it has in common; the label of the first pivot's class.
+PROBES, MAIN = 2, -(1 << 63)
 SHINGLE, SIMILARITY = 5, 80
 
 _SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
@@ -372,15 +374,30 @@ def _large_group_links(members: DataFrame, sets: DataFrame, similarity: int) ->
     # what a set deviates beyond one at the threshold: of two sets that are linked but not by the pivot, one is above 0
     excess = 100 * (F.col("p") - F.col("shared")) + similarity * (F.col("n") - F.col("shared")) - (100 - similarity) * F.col("p")
     own = near.where("turn = 0").select("component", "id", "n", "p", "shared", "dev", excess.alias("excess"))
-    own = written(own.join(found, "id", "left").withColumn("label", F.coalesce("label", "id")), "deviations")
-    open_ = own.groupBy("component").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l < m").select("component")
+    own = own.join(found, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    own = written(own, "deviations")
+    # the class of the first pivot is MAIN; sets of equal labels are linked, by others in between
+    main = own.where("excess <= 0").groupBy("component").agg(F.min("label").alias("main"))
+    own = own.join(few(written(main, "main")), "component").withColumn("label", F.when(F.col("label") == F.col("main"), F.lit(MAIN)).otherwise(F.col("label"))).drop("main")
+    open_ = own.where(F.col("label") != MAIN).select("component").distinct()
     own = own.join(few(written(open_, "open-groups")), "component", "left_semi")
     tokens = own.select("component", "id", F.explode("dev").alias("token"))
     counts = tokens.groupBy("component", "token").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
     tokens = tokens.join(written(counts, "token-counts"), ["component", "token"], "left")
-    rare = F.array_sort(F.collect_list(F.struct(F.coalesce("times", F.lit(1)).alias("times"), "token")))["token"]
-    ranked = tokens.groupBy("id").agg(rare.alias("tokens"))
+    ranked = F.array_sort(F.collect_list(F.struct(F.coalesce("times", F.lit(1)).alias("times"), "token")))
+    ranked = tokens.groupBy("id").agg(ranked.alias("r")).select("id", F.col("r.token").alias("tokens"), F.filter("r", lambda x: x["times"] > 1)["token"].alias("common"))
     rows = written(own.drop("dev").join(ranked, "id"), "ranked")
+    # most sets that no pivot is linked to are linked to some that share a deviation: a few of each are asked first
+    least = lambda k: F.min(F.col("id").bitwiseXOR(F.xxhash64("token", F.lit(k)))).bitwiseXOR(F.xxhash64("token", F.lit(k)))
+    common = rows.select("component", "id", "label", F.explode("common").alias("token"))
+    named = written(common.groupBy("component", "token").agg(*[least(k).alias(f"b{k}") for k in range(PROBES)]), "named-tokens")
+    asked = common.where(F.col("label") != MAIN).select("component", F.col("id").alias("a"), "token").join(named, ["component", "token"])
+    pairs = asked.select("a", F.explode(F.array_distinct(F.array(*[f"b{k}" for k in range(PROBES)]))).alias("b")).where("a <> b").distinct()
+    probed = written(_reaching(written(pairs, "probes"), rows, similarity), "probed")
+    links = [stars, probed]
+    better = probed.join(rows.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("better"))
+    rows = rows.join(written(better, "better"), "id", "left").withColumn("label", F.least("label", "better")).drop("better", "common")
+    rows = written(rows, "labelled")
     steps = [F.lit(1), *[F.ceil(F.lit(s) * (100 - similarity) * F.col("p")) for s in STEPS]]
     kind = reduce(lambda a, b: a + b, [(F.col("excess") >= s).cast("int") for s in steps])
     # a linked set has all but so many of one's deviations
@@ -404,12 +421,16 @@ def _large_group_links(members: DataFrame, sets: DataFrame, similarity: int) ->
     pairs = strong.join(mixed, by, "left_semi").join(weak.join(mixed, by, "left_semi"), by).where("label <> label2")
     pairs = pairs.where(similarity * F.greatest("n", "n2") <= 100 * F.least("n", "n2"))
     pairs = written(pairs.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct(), "pairs")
-    kept = lambda x: own.select(*[F.col(c).alias(f"{x}_{c}") for c in ("id", "n", "p", "shared", "dev")])
-    checked = pairs.join(kept("a"), F.col("a") == F.col("a_id")).join(kept("b"), F.col("b") == F.col("b_id"))
+    return [*links, _reaching(pairs, rows, similarity)]
+
+
+def _reaching(pairs: DataFrame, rows: DataFrame, similarity: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) that reach the similarity; ``rows``: id, n, p, shared, tokens (deviations from one pivot)."""
+    kept = lambda x: rows.select(*[F.col(c).alias(f"{x}_{c}") for c in ("id", "n", "p", "shared", "tokens")])
+    both = pairs.join(kept("a"), F.col("a") == F.col("a_id")).join(kept("b"), F.col("b") == F.col("b_id"))
     # words in common: those of the pivot that neither lacks, and the others that both have
-    both = F.col("a_shared") + F.col("b_shared") - F.col("a_p") + F.size(F.array_intersect("a_dev", "b_dev"))
-    checked = checked.where(100 * both >= similarity * (F.col("a_n") + F.col("b_n") - both)).select("a", "b")
-    return [stars, checked]
+    common = F.col("a_shared") + F.col("b_shared") - F.col("a_p") + F.size(F.array_intersect("a_tokens", "b_tokens"))
+    return both.where(100 * common >= similarity * (F.col("a_n") + F.col("b_n") - common)).select("a", "b")
 
 
 def exact_links(docs: DataFrame, groups: DataFrame, size: int, similarity: int) -> DataFrame:
