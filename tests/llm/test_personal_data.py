@@ -2,6 +2,7 @@ import hashlib
 import re
 
 from cases import ODD, SF, frame
+from pyspark.sql import functions as F
 
 from weftwork.llm import personal_data, q02_personal_data
 
@@ -93,7 +94,29 @@ def test_tokens_without_digits_are_instances(spark):
 
 
 def test_longer_values_are_told_apart_by_their_ends(spark):
-    # two tokens share their first 64 code points; each is an instance of its own
-    rows = [(i, "x" * 70 + f"{i}") for i in range(2)]
-    found = personal_data.base_entities(frame(spark, rows))
-    assert len({r.value for r in personal_data.tokens_of(found).collect()}) == 2
+    # two tokens share their first 70 code points; each is an instance of its own
+    texts = spark.createDataFrame([(f"in {'x' * 70}{i} at",) for i in range(2)], "text string")
+    asked = texts.limit(1).select(F.lit(personal_data.SIDES).alias("of"), F.xxhash64(F.lit("in"), F.lit("at")).alias("pattern"))
+    assert personal_data._edges(texts, asked).count() == 2
+
+
+def test_odd_tokens(spark):
+    text = "Plain words, well-known: don't (a) end. a.b 3 x=y p:q z@ ... : 'q' e.\n.net r7, é.ü"
+    found = personal_data._odd(spark.createDataFrame([(text,)], "text string"))
+    assert [r.token for r in found.collect()] == ["(a)", "a.b", "3", "x=y", "p:q", "z@", "...", ".net", "r7,", "é.ü"]
+
+
+def test_shapes_mark_what_passes_the_check(spark):
+    # sixty cards; a number twice in a row is no base match, but its tokens pass; a number of no card does not
+    valid = [n for n in range(4000000000000000, 4000000000009000) if luhn(str(n))][:60]
+    wrong = next(n for n in range(4000000000000000, 4000000000009000) if not luhn(str(n)))
+    rows = [(i, f"{'w' * (i + 1)} {n}, {'v' * (i + 1)}") for i, n in enumerate(valid)] + [(900, f"so {valid[0]} {valid[0]}, it"), (901, f"as {wrong}, is")]
+    got = {r.doc_id: r for r in personal_data.entities(frame(spark, rows)).collect()}
+    assert got[900].base == [] and [tuple(s) for s in got[900].spans] == [(3, 2, 19), (20, 2, 36)]
+    assert got[901].spans == []
+
+
+def test_texts_of_many_matches(spark):
+    many = " ".join(f"u{i}@mail.example {i}.1.1.1" for i in range(4000))
+    got = personal_data.entities(frame(spark, [(1, many), (None, many)])).collect()
+    assert [[tuple(s) for s in r.base] for r in got] == [brute(many)] * 2

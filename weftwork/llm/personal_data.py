@@ -2,9 +2,12 @@
 
 Base entities come from regular expressions: split() gives what stands between matches, regexp_extract_all() the
 matches, and running lengths their places. They seed a graph of instances (values of all tokens) and lexical patterns
-(the token's shape, a name before "=" or ":", the words at its sides). In each round a pattern's confidence is the share of its instances that are held to be of a kind, an instance's the best of its patterns;
-patterns of high confidence then mark tokens that no expression finds. Patterns are written so that matching never
-goes back over what it has read, and Java's matcher does not recurse over long texts.
+(a name before "=" or ":", the token's shape, the words at its sides). In each round a pattern's confidence is the
+share of its instances that are held to be of a kind, an instance's the best of its patterns. Patterns of high
+confidence then mark tokens that no expression finds: names and sides any token, a shape those that pass the kind's
+own check. Tokens are never written: every round passes over the texts and keeps what belongs to a pattern that could
+gain confidence; a plain word has no shape, as the shape of all words never does. Patterns are written so that matching
+never goes back over what it has read, and Java's matcher does not recurse over long texts.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftwork.llm.common import counted, written
+from weftwork.llm.common import few, keyed, text_mark, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: The kinds' expressions, with possessive quantifiers and guards that leave the matches as they are.
@@ -30,14 +33,15 @@ GATES = {
     "phone": lambda t: F.contains(t, F.lit("+")),
 }
 TOKEN = r"\S++"
+#: What makes a token odd: signs and digits, and a colon or a full stop inside it.
+ODD = r"[0-9@=_+/\[\](){}<>#~%&*|\\^$]|[:.](?=\S)"
 #: Rounds of scoring, weight of doubt in a pattern's confidence, least confidence and instances of a pattern that marks.
 ROUNDS, DOUBT, CONFIDENT, SUPPORT = 2, 2.0, 0.8, 5
-#: Code points of a value or word from which a hash of the whole stands for the rest.
-WIDEST = 64
-#: Matches whose places are gathered at a time: appending copies what is there.
+#: What patterns are of.
+SIDES, NAME, SHAPE = 0, 1, 2
+#: Matches whose places are gathered, or spans that are compared, at a time.
 BLOCK = 256
-#: Values or patterns that are broadcast; more are joined by a shuffle.
-BROADCAST_ROWS = 200_000
+SPAN = "struct<start: long, kind: int, end: long>"
 
 
 def _placed(text: Column, expression: str) -> Column:
@@ -91,7 +95,7 @@ def _holds(kind: str, value: Column) -> Column:
 
 
 def _empty() -> Column:
-    return F.expr("cast(array() as array<struct<start: long, kind: int, end: long>>)")
+    return F.expr(f"cast(array() as array<{SPAN}>)")
 
 
 def _base(text: Column, kind: str) -> Column:
@@ -100,91 +104,174 @@ def _base(text: Column, kind: str) -> Column:
     return F.when(GATES[kind](text), spans).otherwise(_empty())
 
 
-def _key(value: Column) -> Column:
-    return F.when(F.length(value) > WIDEST, F.concat(F.substring(value, 1, WIDEST), F.sha2(value, 256))).otherwise(value)
+def _bare(token: Column) -> Column:
+    """The token without marks at its end."""
+    marks = r"[.,;:!?)\]}>\"']"
+    return F.when(F.rlike(token, F.lit(marks + "$")), F.regexp_replace(token, f"(?<!{marks}){marks}++$", "")).otherwise(token)
 
 
-def _patterns() -> Column:
-    """Lexical patterns of a row of tokens: a name before its value, the value's shape, the words beside it."""
-    name = F.regexp_extract("text", r"^([A-Za-z_.-]{1,32}[=:])", 1)
-    bare = F.regexp_replace("text", r"[.,;:!?)\]}>\"']{1,8}$", "")
-    shape = F.regexp_replace(F.regexp_replace(bare, "[0-9]", "9"), r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", "a")
-    left, right = (_key(F.lower(F.coalesce(side, F.lit("")))) for side in ("left", "right"))
-    some = lambda tag, x: F.when(x != "", F.concat(F.lit(tag), x))
-    return F.array_compact(F.array(some("name ", name), some("shape ", _key(shape)), some("sides ", F.concat(left, F.lit(" "), right))))
+def _named(token: Column) -> Column:
+    """The name before a token's value, with its sign; else empty."""
+    return F.when(F.contains(token, F.lit("=")) | F.contains(token, F.lit(":")), F.regexp_extract(token, r"^([A-Za-z_.-]++[=:])", 1)).otherwise("")
 
 
-def _tokens(text: Column, base: Column) -> Column:
-    def one(t):
-        inside = F.filter(base, lambda s: (s["start"] < t["end"]) & (s["end"] > t["start"]))
-        return F.struct(t["start"].alias("start"), t["end"].alias("end"), t["value"].alias("value"), F.get(inside, F.lit(0))["kind"].alias("kind"))
+def _shape(token: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(_bare(token), "[0-9]", "9"), r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", "a")
 
-    return F.transform(_placed(text, TOKEN), one)
 
+def _pattern(of: int, *parts) -> Column:
+    return F.struct(F.lit(of).alias("of"), F.xxhash64(*parts).alias("pattern"))
 
-def tokens_of(found: DataFrame) -> DataFrame:
-    """doc_id, mark, start, end, kind, text, value (its key as an instance), left and right (texts beside it) of all tokens."""
-    near = lambda i: F.get("tokens", i)["value"]
-    beside = F.transform("tokens", lambda t, i: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["kind"].alias("kind"), t["value"].alias("text"), near(i - 1).alias("left"), near(i + 1).alias("right")))
-    return found.select("doc_id", "mark", F.explode(beside).alias("t")).select("doc_id", "mark", "t.*", _key(F.col("t.text")).alias("value"))
 
+def _written_patterns(token: Column) -> Column:
+    """Patterns of how an odd token (lowered) is written: the name before its value, its shape."""
+    return F.array_compact(F.array(F.when(_named(token) != "", _pattern(NAME, _named(token))), _pattern(SHAPE, _shape(token))))
 
-def _few(keys: DataFrame) -> DataFrame:
-    return F.broadcast(keys) if counted(keys) <= BROADCAST_ROWS else keys
+
+def _all_patterns(left: Column, token: Column, right: Column) -> Column:
+    sides = F.array(_pattern(SIDES, left, right))
+    return F.when(F.rlike(token, F.lit(ODD)), F.concat(sides, _written_patterns(token))).otherwise(sides)
+
+
+def _words(texts: DataFrame) -> DataFrame:
+    """token (lowered), left and right of every token of ``texts``."""
+    words = texts.select(F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), F.lit(0)).alias("w"))
+    zipped = F.arrays_zip(F.concat(F.array(F.lit("")), "w").alias("l"), F.col("w").alias("v"), F.slice("w", 2, F.size("w")).alias("r"))
+    rows = words.select(F.explode(zipped).alias("t")).select(F.col("t.v").alias("token"), F.col("t.l").alias("left"), F.coalesce("t.r", F.lit("")).alias("right"))
+    return rows.where(F.col("token").isNotNull())
+
+
+def _odd(texts: DataFrame, *also) -> DataFrame:
+    """token (lowered) of every odd token of ``texts``, whose name and shape tell something; and other columns."""
+    tokens = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), F.lit(0))).alias("token")
+    return texts.where(F.rlike("text", F.lit(ODD))).select(*also, tokens).where(F.rlike("token", F.lit(ODD)))
+
+
+def _edges(texts: DataFrame, asked: DataFrame) -> DataFrame:
+    """of, pattern and value (a hash of the token) of all tokens of patterns that are ``asked`` for (of, pattern)."""
+    value = F.xxhash64("token").alias("value")
+    sides = _words(texts).withColumn("pattern", F.xxhash64("left", "right"))
+    sides = sides.join(few(written(asked.where(F.col("of") == SIDES).select("pattern"), "pii-sides")), "pattern", "left_semi")
+    odd = _odd(texts).select("token", F.explode(_written_patterns(F.col("token"))).alias("p")).select("p.*", "token")
+    odd = odd.join(few(written(asked.where(F.col("of") != SIDES), "pii-odd")), ["of", "pattern"], "left_semi")
+    return sides.select(F.lit(SIDES).alias("of"), "pattern", value).union(odd.select("of", "pattern", value)).distinct()
+
+
+def _patterns_of(texts: DataFrame, values: DataFrame) -> DataFrame:
+    """value, of and pattern of all tokens whose value is one of ``values``."""
+    values, value = few(values), F.xxhash64("token")
+    words = _words(texts).withColumn("value", value).join(values, "value", "left_semi")
+    odd = _odd(texts).withColumn("value", value).join(values, "value", "left_semi")
+    found = words.select("value", _pattern(SIDES, "left", "right").alias("p")).union(odd.select("value", F.explode(_written_patterns(F.col("token"))).alias("p")))
+    return found.select("value", "p.*")
+
+
+def _meeting(spans: Column, others: Column) -> Column:
+    """For each of ``spans`` those of ``others`` that share places with it; both sorted by start, met in blocks."""
+
+    def block(some):
+        low, high = F.array_min(F.transform(some, lambda s: s["start"])), F.array_max(F.transform(some, lambda s: s["end"]))
+        near = F.array(F.filter(others, lambda o: (o["start"] < high) & (o["end"] > low)))
+        one = lambda s, close: F.filter(close, lambda o: (o["start"] < s["end"]) & (o["end"] > s["start"]))
+        return F.get(F.transform(near, lambda close: F.transform(some, lambda s: one(s, close))), F.lit(0))
+
+    parts = F.transform(F.sequence(F.lit(0), (F.size(spans) / BLOCK).cast("int")), lambda i: F.slice(spans, i * BLOCK + 1, F.lit(BLOCK)))
+    return F.flatten(F.transform(parts, block))
 
 
 def base_entities(docs: DataFrame) -> DataFrame:
-    """doc_id, mark (of the text), base (array of start, kind, end by start and kind), tokens; null texts are empty."""
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.select("*", F.array_sort(F.concat(*[_base(F.col("text"), k) for k in KINDS])).alias("base"))
-    return rows.select("doc_id", _mark(F.col("text")).alias("mark"), "base", _tokens(F.col("text"), F.col("base")).alias("tokens"))
+    """key and base (array of start, kind, end by start and kind) of every row; null texts are empty."""
+    rows = keyed(docs).withColumn("text", F.coalesce("text", F.lit("")))
+    return rows.select("key", F.array_sort(F.concat(*[_base(F.col("text"), k) for k in KINDS])).alias("base"))
+
+
+def _beside(tokens: Column) -> Column:
+    """Tokens with their neighbours: start, end, token (as it stands), lowered, left and right (lowered)."""
+    near = lambda i: F.lower(F.coalesce(F.get(tokens, i)["value"], F.lit("")))
+    return F.transform(tokens, lambda t, i: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["value"].alias("token"), F.lower(t["value"]).alias("lowered"), near(i - 1).alias("left"), near(i + 1).alias("right")))
 
 
-def _mark(text: Column) -> Column:
-    return F.struct(F.xxhash64(text).alias("a"), F.hash(text).alias("b"), F.length(text).alias("c"))
+def _seeds(texts: DataFrame, found: DataFrame) -> DataFrame:
+    """kind, lowered, left and right of the tokens that base entities lie in."""
+    rows = found.where(F.size("base") > 0).dropDuplicates(["key"]).join(texts, "key")
+    rows = rows.select("base", _placed(F.col("text"), TOKEN).alias("tokens")).select("base", _beside(F.col("tokens")).alias("tokens"))
+    rows = rows.select("base", _meeting(F.col("base"), F.col("tokens")).alias("met"))
+    rows = rows.select(F.explode(F.arrays_zip(F.col("base.kind").alias("kind"), "met")).alias("b")).select("b.kind", F.explode("b.met").alias("t"))
+    return rows.select("kind", "t.lowered", "t.left", "t.right")
 
 
-def confident_patterns(found: DataFrame) -> DataFrame:
-    """pattern, kind and confidence of the patterns that mark; from the pattern-instance graph of all documents."""
-    tokens = tokens_of(found)
-    scores = tokens.where(F.col("kind").isNotNull()).select("value", "kind").distinct().withColumn("score", F.lit(1.0))
-    seeds = scores = written(scores, "pii-seeds")
+def confident_patterns(texts: DataFrame, found: DataFrame) -> DataFrame:
+    """of, pattern (a hash), kind and confidence of the patterns that mark; from the pattern-instance graph of all ``texts`` (key, text)."""
+    seeds = written(_seeds(texts, found), "pii-tokens")
+    value = F.xxhash64("lowered").alias("value")
+    held = first = written(seeds.select(value, "kind").distinct().withColumn("score", F.lit(1.0)), "pii-seeds")
+    near = seeds.select(value, F.explode(_all_patterns(F.col("left"), F.col("lowered"), F.col("right"))).alias("p")).select("value", "p.*")
     for turn in range(ROUNDS):
         # only patterns of held values gain confidence, and a score is 1 at most: fewer of them than this never suffice
-        near = tokens.join(_few(written(scores.select("value").distinct(), "pii-held")), "value", "left_semi")
-        asked = near.select("value", F.explode(_patterns()).alias("pattern")).distinct().groupBy("pattern").agg(F.count(F.lit(1)).alias("m"))
-        asked = written(asked.where(F.col("m") >= CONFIDENT / 2 * (SUPPORT + DOUBT)).select("pattern"), "pii-asked")
-        edges = tokens.select("value", F.explode(_patterns()).alias("pattern")).join(_few(asked), "pattern", "left_semi").distinct()
-        edges = written(edges.select("pattern", "value"), "pii-edges")
+        asked = near.distinct().groupBy("of", "pattern").agg(F.count(F.lit(1)).alias("m"))
+        asked = written(asked.where(F.col("m") >= CONFIDENT / 2 * (SUPPORT + DOUBT)).select("of", "pattern"), "pii-asked")
+        edges = written(_edges(texts, asked), "pii-edges")
         # a pattern of fewer instances never marks and never lifts one: it leaves the graph
-        wide = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SUPPORT)
+        wide = edges.groupBy("of", "pattern").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SUPPORT)
         # written, so that the join shuffles both sides itself: only then Spark splits the partition of a hot pattern
-        edges = written(edges.join(written(wide, "pii-wide"), "pattern"), "pii-graph")
-        patterns = edges.join(scores, "value").groupBy("pattern", "kind").agg((F.sum("score") / (F.max("n") + DOUBT)).alias("confidence"))
+        edges = written(edges.join(written(wide, "pii-wide"), ["of", "pattern"]), "pii-graph")
+        patterns = edges.join(held, "value").groupBy("of", "pattern", "kind").agg((F.sum("score") / (F.max("n") + DOUBT)).alias("confidence"))
         patterns = patterns.where(F.col("confidence") >= CONFIDENT / 2)
         if turn + 1 < ROUNDS:
-            lifted = edges.select("pattern", "value").join(patterns, "pattern").groupBy("value", "kind").agg(F.max("confidence").alias("score"))
-            scores = written(seeds.union(lifted).groupBy("value", "kind").agg(F.max("score").alias("score")), "pii-scores")
+            lifted = edges.select("of", "pattern", "value").join(patterns, ["of", "pattern"]).groupBy("value", "kind").agg(F.max("confidence").alias("score"))
+            held = written(first.union(lifted).groupBy("value", "kind").agg(F.max("score").alias("score")), "pii-scores")
+            near = _patterns_of(texts, written(held.select("value").distinct(), "pii-held"))
     return patterns.where(F.col("confidence") >= CONFIDENT)
 
 
+def _marked(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """key and more (array of start, kind, end, by start): what confident patterns mark, without names and marks at the end."""
+    sure = written(patterns.select("of", "pattern").distinct(), "pii-confident")
+    sides = few(written(sure.where(F.col("of") == SIDES).select("pattern"), "pii-sure-sides"))
+    odd = few(written(sure.where(F.col("of") != SIDES), "pii-sure-odd"))
+    # places are counted in the texts alone that a confident pattern has a token in
+    words = F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), F.lit(0))
+    left, right = F.concat(F.array(F.lit("")), "w"), F.concat(F.slice("w", 2, F.size("w")), F.array(F.lit("")))
+    pairs = texts.select("key", words.alias("w")).select("key", F.explode(F.arrays_zip(left.alias("l"), right.alias("r"))).alias("t"))
+    keys = pairs.select("key", F.xxhash64("t.l", F.coalesce("t.r", F.lit(""))).alias("pattern")).join(sides, "pattern", "left_semi").select("key")
+    tokens = _odd(texts, "key").select("key", F.explode(_written_patterns(F.col("token"))).alias("p")).select("key", "p.*")
+    keys = written(keys.union(tokens.join(odd, ["of", "pattern"], "left_semi").select("key")).distinct(), "pii-open")
+    rows = texts.join(few(keys), "key", "left_semi").select("key", _placed(F.col("text"), TOKEN).alias("tokens"))
+    rows = rows.select("key", F.explode(_beside(F.col("tokens"))).alias("t")).select("key", "t.*")
+    rows = rows.withColumn("p", F.explode(_all_patterns(F.col("left"), F.col("lowered"), F.col("right")))).select("key", "start", "token", "p.*")
+    hits = rows.join(few(patterns), ["of", "pattern"])
+    name, bare = _named(F.col("token")), _bare(F.col("token"))
+    value = F.substr(bare, F.length(name) + 1)
+    holds = F.lit(False)
+    for k, kind in enumerate(KINDS):
+        holds = F.when(F.col("kind") == k, _holds(kind, value)).otherwise(holds)
+    hits = hits.where((value != "") & ((F.col("of") != SHAPE) | holds))
+    hits = hits.select("key", (F.col("start") + F.length(name)).alias("start"), F.length(value).alias("size"), "kind", "confidence")
+    best = hits.groupBy("key", "start", "size").agg(F.max(F.struct("confidence", (-F.col("kind")).alias("k"))).alias("b"))
+    one = F.struct("start", (-F.col("b.k")).cast("int").alias("kind"), (F.col("start") + F.col("size")).alias("end"))
+    return best.groupBy("key").agg(F.array_sort(F.collect_set(one)).alias("more"))
+
+
+def _entities(docs: DataFrame) -> DataFrame:
+    """key, base and spans of every row."""
+    texts = keyed(docs).withColumn("text", F.coalesce("text", F.lit(""))).where("text <> ''")
+    found = written(base_entities(docs), "pii-base")
+    patterns = written(confident_patterns(texts, found), "pii-patterns")
+    more = _marked(texts, patterns).join(found.where(F.size("base") > 0).dropDuplicates(["key"]), "key", "left")
+    clear = F.arrays_zip(F.col("more").alias("s"), _meeting(F.col("more"), F.coalesce("base", _empty())).alias("met"))
+    more = more.select(F.col("key").alias("_key"), F.transform(F.filter(clear, lambda x: F.size(x["met"]) == 0), lambda x: x["s"]).alias("more"))
+    more = written(more.where(F.size("more") > 0), "pii-more")
+    rows = found.join(more, F.col("key").eqNullSafe(F.col("_key")), "left")
+    return rows.select("key", "base", F.array_sort(F.concat("base", F.coalesce("more", _empty()))).alias("spans"))
+
+
 def entities(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: doc_id, mark, base and spans (arrays of start, kind number, end by start and kind).
+    """One row per row of ``docs``: doc_id, base and spans (arrays of start, kind number, end by start and kind).
 
-    ``spans`` holds the base and, where they meet no base span, tokens that confident patterns mark. Null and empty
-    texts have empty arrays; repeated rows get the same spans each; documents with null ids take part.
+    ``spans`` holds the base and, where they meet no base span, values of tokens that confident patterns mark. Null and
+    empty texts have empty arrays; repeated rows get the same spans each; documents with null ids take part.
     """
-    found = written(base_entities(docs), "pii-base")
-    patterns = written(confident_patterns(found), "pii-patterns")
-    # rows that share id and text have the same tokens: the distinct ones are enough
-    open_ = tokens_of(found).where(F.col("kind").isNull()).select("doc_id", "mark", "start", "end", F.explode(_patterns()).alias("pattern"))
-    best = open_.join(_few(patterns), "pattern").groupBy("doc_id", "mark", "start", "end").agg(F.max(F.struct("confidence", (-F.col("kind")).alias("k"))).alias("b"))
-    one = F.struct("start", (-F.col("b.k")).cast("int").alias("kind"), "end")
-    more = best.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_set(one)).alias("more"))
-    more = more.select(F.col("doc_id").alias("_d"), F.col("mark").alias("_m"), "more")
-    rows = found.join(more, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("mark") == F.col("_m")), "left")
-    spans = F.array_sort(F.concat("base", F.coalesce("more", _empty())))
-    return rows.select("doc_id", "mark", "base", spans.alias("spans"))
+    return _entities(docs).select("key.doc_id", "base", "spans")
 
 
 def listed(spans: Column) -> Column:
@@ -199,9 +286,9 @@ def redacted(docs: DataFrame) -> DataFrame:
     Other columns, null texts and texts without spans stay as they are.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    spans = entities(docs).where(F.size("spans") > 0).select(F.col("doc_id").alias("_d"), F.col("mark").alias("_m"), F.col("spans").alias("_spans"))
-    spans = spans.dropDuplicates(["_d", "_m"])
-    rows = docs.join(spans, docs.doc_id.cast("long").eqNullSafe(F.col("_d")) & (_mark(text) == F.col("_m")), "left")
+    spans = _entities(docs).where(F.size("spans") > 0).select(F.col("key").alias("_key"), F.col("spans").alias("_spans")).dropDuplicates(["_key"])
+    own = F.struct(docs["doc_id"].cast("long").alias("doc_id"), text_mark(docs["text"].cast("string")).alias("mark"))
+    rows = docs.join(written(spans, "pii-spans"), own.eqNullSafe(F.col("_key")), "left")
     names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
     start = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
 
