@@ -3,7 +3,8 @@
 from cases import words
 
 import corpus_pipeline
-from weftwork.llm import piece_encoding
+from weftwork.llm import piece_encoding, quality
+from weftwork.llm.q01_quality import training_labels
 from weftwork.llm.q09_piece_encoding import vocabulary
 
 SF = "/root/testdata/sf0.001"
@@ -72,3 +73,23 @@ def test_empty_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = corpus_pipeline.written(stage(spark, docs, SF), "empty")
         assert docs.collect() == []
+
+
+def test_rows_are_dropped_by_id_and_text(spark):
+    # a contaminated, a clean, a junk and a repeated row, all without an id or with one id, and columns of clashing names
+    passage = max((r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if r.text), key=len)
+    clean = next(r.text for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect() if r.text and 60 < len(r.text.split()) < 200)
+    texts = [passage, clean, clean, None, ""]
+    rows = [(i, t, "en", "key", len(t or ""), [1]) for i in (None, 5) for t in texts]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, key array<int>")
+    out = corpus_pipeline.decontamination_stage(spark, docs, SF)
+    assert out.columns == docs.columns
+    assert sorted(str((r.doc_id, r.text)) for r in out.collect()) == sorted(str((i, t)) for i in (None, 5) for t in texts[1:])
+    out = corpus_pipeline.near_dedup_stage(spark, docs, SF)
+    want = [(None, t) for t in texts] + [(5, t) for t in (passage, clean, None, "")]
+    assert sorted(str((r.doc_id, r.text)) for r in out.collect()) == sorted(map(str, want))
+    kept = {(r.doc_id, r.text) for r in corpus_pipeline.quality_stage(spark, docs, SF).collect()}
+    scores = {(r.key.doc_id, r.key.mark): r.score for r in quality.keyed_scores(docs, training_labels(spark, SF)).collect()}
+    assert len(scores) == 8 and {t for _, t in kept} <= set(texts)
+    found = corpus_pipeline.personal_data_stage(spark, docs, SF).collect()
+    assert sorted((str(r.doc_id), r.n_chars) for r in found) == sorted((str(r[0]), len(r[1] or "")) for r in rows)

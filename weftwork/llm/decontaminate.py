@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftwork.llm.common import WORD_BYTES, small_batches, text_blocks, word_spans, words_of
+from weftwork.llm.common import KEY, WORD_BYTES, keyed, small_batches, text_blocks, without, word_spans, words_of
 
 #: Words of a window; an item with fewer words is one window.
 WINDOW = 13
@@ -196,6 +196,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     have no windows, rows with a null item_id hit words but are not listed; repeated rows give repeated rows;
     an empty benchmark leaves all clean; other columns are ignored.
     """
+    return _contamination(docs, benchmark, window, share).select("key.doc_id", "n_words", "n_hit", "n_items", "item_ids", "contaminated")
+
+
+def _contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20) -> DataFrame:
     small_batches(docs.sparkSession)
     blocks = broadcast_items(benchmark, window)
 
@@ -208,18 +212,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
             n_words, n_hit, found = _hits(raw, offsets, items, window)
             yield pa.RecordBatch.from_arrays(
                 [
-                    ids.cast(pa.int64()),
+                    ids,
                     pa.array(n_words, pa.int64()),
                     pa.array(n_hit, pa.int64()),
                     pa.array([len(x) for x in found], pa.int64()),
                     pa.array([sorted(map(str, x)) for x in found], pa.list_(pa.string())),
                     pa.array((n_hit > 0) & (share * n_hit >= n_words), pa.bool_()),
                 ],
-                ["doc_id", "n_words", "n_hit", "n_items", "item_ids", "contaminated"],
+                ["key", "n_words", "n_hit", "n_items", "item_ids", "contaminated"],
             )
 
-    schema = "doc_id long, n_words long, n_hit long, n_items long, item_ids array<string>, contaminated boolean"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(scan, schema)
+    schema = f"key {KEY}, n_words long, n_hit long, n_items long, item_ids array<string>, contaminated boolean"
+    return keyed(docs).mapInArrow(scan, schema)
 
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame, least: int = 5) -> DataFrame:
@@ -276,9 +280,8 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, least: int = 5) -> Da
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, unchanged; rows of null doc_id are judged with their like."""
-    bad = contamination(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs.doc_id.eqNullSafe(F.col("_bad")), "left_anti")
+    """The rows of ``docs`` that are not contaminated, unchanged; rows that share an id, or have none, are judged each by its text."""
+    return without(docs, _contamination(docs, benchmark).where("contaminated"))
 
 
 def digest(items) -> str:

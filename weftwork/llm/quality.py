@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftwork.llm.common import small_batches, text_blocks, word_spans, words_of, written
+from weftwork.llm.common import KEY, keyed, small_batches, text_blocks, word_spans, words_of, written
 
 #: Cosine features, the kernel's width in standard deviations, ridge penalty per row, score bins.
 FEATURES, WIDTH, RIDGE, BINS = 160, 2.5, 1e-3, 400
@@ -103,7 +103,7 @@ def statistics(raw: bytes, offsets: np.ndarray) -> np.ndarray:
 
 
 def document_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and stats (array of N_STATS doubles) of every row; whole texts, null as empty."""
+    """key and stats (array of N_STATS doubles) of every row; whole texts, null as empty."""
     small_batches(docs.sparkSession)
 
     def scan(batches):
@@ -111,9 +111,9 @@ def document_statistics(docs: DataFrame) -> DataFrame:
             stats = statistics(raw, offsets)
             flat = pa.array(stats.ravel(), pa.float64())
             rows = pa.array(np.arange(0, stats.size + 1, N_STATS), pa.int32())
-            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.ListArray.from_arrays(rows, flat)], ["doc_id", "stats"])
+            yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(rows, flat)], ["key", "stats"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(scan, "doc_id long, stats array<double>")
+    return keyed(docs).mapInArrow(scan, f"key {KEY}, stats array<double>")
 
 
 def _matrix(column) -> np.ndarray:
@@ -156,13 +156,13 @@ def isotonic(position: np.ndarray, total: np.ndarray, ones: np.ndarray) -> tuple
 
 
 def fit(stats: DataFrame, labels: DataFrame) -> Model:
-    """The model of labelled rows: ``stats`` (doc_id, stats) joined with ``labels`` (doc_id, label 0 or 1).
+    """The model of labelled rows: ``stats`` (key, stats) joined with ``labels`` (doc_id, label 0 or 1).
 
     Rows with a null id, label or other label take no part; a repeated label row counts again. Without any
     labelled row every score is 0.5.
     """
     labels = labels.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1)).select("doc_id", "label")
-    rows = stats.join(labels, "doc_id").select(
+    rows = stats.select(F.col("key.doc_id").alias("doc_id"), "stats").join(labels, "doc_id").select(
         "stats", F.col("label").cast("double").alias("label"), F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int").alias("half")
     )
     rows = written(rows, "quality-rows")
@@ -224,14 +224,20 @@ def fit(stats: DataFrame, labels: DataFrame) -> Model:
 
 
 def scores(stats: DataFrame, model: Model) -> DataFrame:
-    """doc_id and score (0 to 1) of every row of ``stats``."""
+    """key and score (0 to 1) of every row of ``stats``."""
 
     def scan(batches):
         for batch in batches:
             found = model.score(_matrix(batch.column(1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], ["key", "score"])
 
-    return stats.select("doc_id", "stats").mapInArrow(scan, "doc_id long, score double")
+    return stats.select("key", "stats").mapInArrow(scan, f"key {KEY}, score double")
+
+
+def keyed_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """key (id and the text's mark) and score of every row of ``docs``, fitted on ``labels`` (doc_id, label)."""
+    stats = written(document_statistics(docs), "quality-stats")
+    return scores(stats, fit(stats, labels))
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -240,5 +246,4 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Null texts are empty texts; repeated rows are scored each; rows with a null doc_id are scored and never
     fitted; an empty table gives no rows; other columns are ignored.
     """
-    stats = written(document_statistics(docs), "quality-stats")
-    return scores(stats, fit(stats, labels))
+    return keyed_scores(docs, labels).select("key.doc_id", "score")
