@@ -51,12 +51,24 @@ def tree_leaf_to_root(spark, sf_dir):
     return trees.leaf_to_root(_nodes(spark, sf_dir)).select("tree", "leaf", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
 
 
-@query(f"""with {PATHS}, few as (select * from paths where leaf <= 60)
-  select a.tree, a.leaf as leaf_a, b.leaf as leaf_b, case when a.path[2] = b.path[2] then a.path[2] else 0 end as lca,
-    case when a.path[2] = b.path[2] then concat_ws('>', a.leaf, a.path[2], b.leaf) else concat_ws('>', a.leaf, a.path[2], 0, b.path[2], b.leaf) end as path
-  from few a join few b on a.tree = b.tree and a.leaf < b.leaf""")
+LINES = """f as (select distinct l_orderkey as tree, 1 + 100 * (case l_returnflag when 'A' then 0 when 'N' then 1 else 2 end)::bigint as flag, l_linenumber from lineitem),
+  p as (select tree, flag, flag + l_linenumber::bigint as leaf from f)"""
+
+
+def _line_nodes(spark, sf_dir):
+    """A tree for each order, in pre-order: the order is 0, return flags stand below it, their lines below them."""
+    flag = 1 + 100 * F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2).cast("long")
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("tree"), flag.alias("flag"), "l_linenumber").distinct()
+    leaves = lines.select("tree", (F.col("flag") + F.col("l_linenumber")).cast("long").alias("idx"), F.col("flag").alias("parent"))
+    flags = lines.select("tree", F.col("flag").alias("idx"), F.lit(0).cast("long").alias("parent")).distinct()
+    return leaves.union(flags).union(lines.select("tree", F.lit(0).cast("long"), F.lit(None).cast("long")).distinct())
+
+
+@query(f"""with {LINES} select a.tree, a.leaf as leaf_a, b.leaf as leaf_b, case when a.flag = b.flag then a.flag else 0 end as lca,
+    case when a.flag = b.flag then concat_ws('>', a.leaf, a.flag, b.leaf) else concat_ws('>', a.leaf, a.flag, 0, b.flag, b.leaf) end as path
+  from p a join p b on a.tree = b.tree and a.leaf < b.leaf""")
 def leaf_pairs_lca(spark, sf_dir):
-    paths = trees.leaf_to_root(_nodes(spark, sf_dir)).where("leaf <= 60")  # the limit comes before pairs are made
+    paths = trees.leaf_to_root(_line_nodes(spark, sf_dir))
     return trees.leaf_pairs(paths).select("tree", "leaf_a", "leaf_b", "lca", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
 
 
@@ -370,27 +382,28 @@ def segment_softmax_attention(spark, sf_dir):
     return _rounded(scatter.attention(_emb(spark, sf_dir), "label", "e", ask))
 
 
-@query("""with s as (select user_id, list(value order by event_id) as v from events group by 1), c as (select user_id, v[:10] as v from s)
+@query("""with c as (select user_id, list(value order by event_id) as v from events group by 1)
   select user_id, round(v[len(v)], 6) as last, round(v[1] + v[len(v)], 6) as ends, round(list_avg(v), 6) as mean, round(list_sum(v), 6) as total from c""")
 def seq_combine(spark, sf_dir):
     rows = table(spark, sf_dir, "events").groupBy("user_id").agg(arrays.collected(F.array("value"), F.col("event_id")).alias("v"))
-    one = lambda how: F.round(F.get(scatter.combined(F.slice("v", 1, 10), how), F.lit(0)), 6)
+    one = lambda how: F.round(F.get(scatter.combined(F.col("v"), how), F.lit(0)), 6)
     return rows.select("user_id", one("last").alias("last"), one("ends").alias("ends"), one("mean").alias("mean"), one("sum").alias("total"))
 
 
-@query("""with s as (select user_id, list(event_type order by event_id) as t from events group by 1), h as (select user_id, t[:6] as a, t[7:11] as b from s)
-  select user_id, array_to_string(flatten(list_transform(range(1, 6), lambda i: [a[i], b[i]])) || [a[6]], ' ') as woven, array_to_string(a, ' ') as first, array_to_string(b, ' ') as second from h""")
+@query("""with s as (select user_id, list(event_type order by event_id) as t, (count(*) + 1) // 2 as k from events group by 1), h as (select user_id, t[:k] as a, t[k + 1:] as b from s)
+  select user_id, array_to_string(flatten(list_transform(range(1, len(b) + 1), lambda i: [a[i], b[i]])) || a[len(b) + 1:], ' ') as woven, array_to_string(a, ' ') as first, array_to_string(b, ' ') as second from h""")
 def weave_unweave(spark, sf_dir):
     rows = table(spark, sf_dir, "events").groupBy("user_id").agg(arrays.collected(F.col("event_type"), F.col("event_id")).alias("t"))
-    rows = rows.select("user_id", arrays.woven(F.slice("t", 1, 6), F.slice("t", 7, 5)).alias("w"))
+    half = F.ceil(F.size("t") / 2).cast("int")
+    rows = rows.select("user_id", arrays.woven(F.slice("t", 1, half), F.slice("t", half + 1, F.size("t"))).alias("w"))
     return rows.select("user_id", F.array_join("w", " ").alias("woven"), F.array_join(arrays.every_other(F.col("w"), 0), " ").alias("first"), F.array_join(arrays.every_other(F.col("w"), 1), " ").alias("second"))
 
 
-@query("""with n as (select n_nationkey as node, n_nationkey * 1.0 as value from nation), e as (select distinct c_nationkey as src, s_nationkey as dst from customer, orders, lineitem, supplier where o_custkey = c_custkey and l_orderkey = o_orderkey and s_suppkey = l_suppkey and o_orderkey % 97 = 0),
+@query("""with n as (select n_nationkey as node, n_nationkey * 1.0 as value from nation), e as (select distinct c_nationkey as src, s_nationkey as dst from customer, orders, lineitem, supplier where o_custkey = c_custkey and l_orderkey = o_orderkey and s_suppkey = l_suppkey),
   m as (select dst, avg(value) as m from e join n on node = src group by 1) select node, round(case when m is null then value else (value + m) / 2 end, 6) as value from n left join m on dst = node""")
 def message_pass_1(spark, sf_dir):
     nodes = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("node"), F.col("n_nationkey").cast("double").alias("value"))
-    orders = table(spark, sf_dir, "orders").where("o_orderkey % 97 = 0").select("o_orderkey", "o_custkey")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     edges = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     edges = edges.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     edges = edges.select(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst")).distinct()

@@ -177,29 +177,26 @@ def token_slice(spark, sf_dir):
     return rows.select("doc_id", F.array_join(arrays.inclusive_slice(F.col("w"), F.lit(3), F.lit(7)), " ").alias("part"))
 
 
-@query(f"with {DOCW} select doc_id, array_to_string(w[:2] || ['<MASK>'] || w[7:10], ' ') as shown from d where len(w) >= 10")
+@query(f"with {DOCW} select doc_id, array_to_string(w[:2] || ['<MASK>'] || w[7:], ' ') as shown from d")
 def mask_range(spark, sf_dir):
-    rows = _docw(spark, sf_dir).where(F.size("w") >= 10)
-    shown = arrays.masked_range(F.slice("w", 1, 10), F.lit(2), F.lit(5), F.lit("<MASK>"))
-    return rows.select("doc_id", F.array_join(shown, " ").alias("shown"))
+    shown = arrays.masked_range(F.col("w"), F.lit(2), F.lit(5), F.lit("<MASK>"))
+    return _docw(spark, sf_dir).select("doc_id", F.array_join(shown, " ").alias("shown"))
 
 
-@query(f"""with {DOCW}, p as (select doc_id, w[:40] as w from d)
-  select doc_id, array_to_string(list_filter(w, lambda x: not list_contains(['the', 'of', 'and'], x)), ' ') as kept,
-  list_filter(range(len(w)), lambda i: not list_contains(['the', 'of', 'and'], w[i + 1]))::varchar as places from p""")
+@query(f"""with {DOCW} select doc_id, array_to_string(list_filter(w, lambda x: not list_contains(['the', 'of', 'and'], x)), ' ') as kept,
+  list_filter(range(len(w)), lambda i: not list_contains(['the', 'of', 'and'], w[i + 1]))::varchar as places from d""")
 def ignore_kinds(spark, sf_dir):
-    rows = _docw(spark, sf_dir).select("doc_id", F.slice("w", 1, 40).alias("w"))
-    ignored = ["the", "of", "and"]
+    rows, ignored = _docw(spark, sf_dir), ["the", "of", "and"]
     places = F.concat(F.lit("["), F.array_join(arrays.kept_positions(F.col("w"), ignored).cast("array<string>"), ", "), F.lit("]"))
     return rows.select("doc_id", F.array_join(arrays.compacted(F.col("w"), ignored), " ").alias("kept"), places.alias("places"))
 
 
-EVT = """seqs as (select user_id, event_id // 400 as part, list(event_type order by event_id) as s from events group by 1, 2)"""
+EVT = """seqs as (select user_id, ts::date as day, list(event_type order by event_id) as s from events group by 1, 2)"""
 
 
 def _sequences(spark, sf_dir):
-    part = F.floor(F.col("event_id") / 400).alias("part")
-    return table(spark, sf_dir, "events").groupBy("user_id", part).agg(arrays.collected(F.col("event_type"), F.col("event_id")).alias("s"))
+    """The whole events of each user's days."""
+    return table(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(arrays.collected(F.col("event_type"), F.col("event_id")).alias("s"))
 
 
 @query(f"""with {EVT} select user_id, len(s)::int as n, array_to_string(list_sort(list(distinct array_to_string(s, ' '))), ';') as grams from seqs where len(s) between 2 and 6 group by 1, 2""")
