@@ -120,18 +120,22 @@ def _digest(found: np.ndarray) -> np.ndarray:
     return np.frombuffer(hashlib.blake2b(found.tobytes(), digest_size=16).digest(), np.int64)
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every u of ``edges`` (u, v) has one edge and no v is a u."""
+    ends = edges.select("u", F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.union(edges.select(F.col("v").alias("u"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    ends = ends.groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return ends.where("up > 1 or up = 1 and down = 1").isEmpty()
+
+
 def _star_rounds(edges: DataFrame) -> DataFrame:
     """Edges (u, v) with u > v of the same components, until every u has one edge, to its component's smallest id.
 
     Minima are written before they are joined: only then Spark splits the partition of a hub.
     """
     edges = written(edges.distinct(), "links")
-    seen = None
-    while True:
-        state = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
-        if state == seen or not state[0]:
-            return edges
-        seen, old = state, edges
+    while not _are_stars(edges):
+        old = edges
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")), "low")
         large = written(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
@@ -140,6 +144,7 @@ def _star_rounds(edges: DataFrame) -> DataFrame:
         again = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = written(small.union(again).distinct(), "links")
         released(old, low, large, least)
+    return edges
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -251,21 +256,20 @@ def candidates(sets: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
         small = rows.where(F.col("n") <= SMALL).select("node", "id")
         small = small.join(signed, "id").select("node", "id", "n_shingles", "sketch")
         small = small.repartition("node").sortWithinPartitions("node")
-        links.append(written(small.mapInArrow(_similar_by_signature, "a long, b long").distinct(), "candidates"))
+        links.append(small.mapInArrow(_similar_by_signature, "a long, b long"))
         large = rows.where(F.col("n") > SMALL)
         if large.isEmpty():
-            released(sizes, rows)
+            released(sizes)
             break
         pivots = sizes.where(F.col("n") > SMALL).select("node", F.col("least").bitwiseXOR(F.col("node")).alias("pivot"))
         pivots = pivots.join(signed.select(F.col("id").alias("pivot"), F.col("sketch").alias("other")), "pivot")
-        pivots = written(pivots, "node-pivots")
         large = large.join(signed.select("id", "sketch"), "id").join(pivots, "node").select("node", "id", "n", "pivot", "sketch", "other")
         large = written(large.mapInArrow(_near_pivot, "node long, id long, n long, pivot long, tied boolean, on boolean"), "large-nodes")
         links.append(large.where("tied").select(F.col("id").alias("a"), F.col("pivot").alias("b")))
         picks = F.explode(F.array_compact(F.array(*_coordinates(F.col("node")))))
         on = large.where("on").select("node", "id", picks.alias("i")).join(sets.select("id", "mins"), "id")
         on = on.select("id", F.xxhash64("node", "i", F.get("mins", F.col("i"))).alias("node"))
-        released(sizes, rows, pivots)
+        released(sizes)
         rows = on
     return reduce(DataFrame.union, links)
 
@@ -318,7 +322,7 @@ def group_sets(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
     """id and hashes (array of longs, sorted) of the sets of ``members`` (id, doc_id of a document that has the set)."""
     small_batches(docs.sparkSession)
     texts = keyed(docs).where(F.col("key.doc_id").isNotNull())
-    owners = few(written(members.select(F.col("doc_id").alias("_owner")).distinct(), "owners"))
+    owners = few(members.select(F.col("doc_id").alias("_owner")))
     texts = texts.join(owners, F.col("key.doc_id") == F.col("_owner"), "left_semi")
 
     def scan(batches):
@@ -352,6 +356,29 @@ def _covering(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64()), strict=True)], ["component", "turn", "pivot"])
 
 
+def _pivot_classes(batches):
+    """Classes of the sets of large groups by the pivots that they are linked to; rows: component, masks (of turns), pivots.
+
+    Pivots of one mask are of one class. label: MAIN for the first pivot's class, another class's first pivot, none
+    for no pivot; open: whether the group has sets beyond MAIN.
+    """
+    for batch in batches:
+        found = []
+        for row in batch.to_pylist():
+            classes = [1 << turn for turn in range(len(row["pivots"]))]
+            for mask in row["masks"]:
+                joined = reduce(lambda a, b: a | b, [c for c in classes if c & mask], 0)
+                classes = [c for c in classes if not c & mask] + [joined] * bool(joined)
+            label = {}
+            for mask in row["masks"]:
+                least = next((c & -c for c in classes if c & mask), 0).bit_length() - 1
+                label[mask] = None if least < 0 else MAIN if least == 0 else row["pivots"][least]
+            found += [(row["component"], m, x, set(label.values()) != {MAIN}) for m, x in label.items()]
+        columns = list(zip(*found, strict=True)) or [(), (), (), ()]
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.bool_())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["component", "mask", "label", "open"])
+
+
 def _large_group_links(members: DataFrame, sets: DataFrame, similarity: int) -> list[DataFrame]:
     """Links (a, b) that give the exact classes of large groups; ``members``: component, id, sketch; ``sets``: component, id, hashes."""
     order = Window.partitionBy("component").orderBy(F.xxhash64("id"), "id")
@@ -359,44 +386,44 @@ def _large_group_links(members: DataFrame, sets: DataFrame, similarity: int) ->
     sample = sample.groupBy("component").agg(F.collect_list(F.struct("id", "sketch")).alias("sample"))
     pivots = sample.mapInArrow(_covering, "component long, turn int, pivot long")
     pivots = pivots.join(sets.select(F.col("id").alias("pivot"), F.col("hashes").alias("whole")), "pivot")
-    pivots = written(pivots.select("component", "turn", "pivot", "whole"), "pivots")
-    removed, added = F.array_except("whole", "hashes"), F.array_except("hashes", "whole")
-    deviations = F.when(F.col("turn") == 0, F.concat(added, F.transform(removed, F.bitwise_not)))
+    pivots = pivots.groupBy("component").agg(F.array_sort(F.collect_list(F.struct("turn", "pivot", "whole"))).alias("pivots"))
+    pivots = written(pivots, "pivots")
+    whole = F.col("pivots")[0]["whole"]
+    removed, added = F.array_except(whole, "hashes"), F.array_except("hashes", whole)
     near = sets.join(pivots, "component").select(
-        "component", "id", "pivot", "turn",
-        F.size("hashes").cast("long").alias("n"), F.size("whole").cast("long").alias("p"),
-        F.size(F.array_intersect("hashes", "whole")).cast("long").alias("shared"), deviations.alias("dev"),
+        "component", "id", F.size("hashes").cast("long").alias("n"), F.size(whole).cast("long").alias("p"),
+        F.transform("pivots", lambda x: F.size(F.array_intersect("hashes", x["whole"])).cast("long")).alias("common"),
+        F.transform("pivots", lambda x: F.size(x["whole"]).cast("long")).alias("sizes"),
+        F.col("pivots.pivot").alias("pivots"), F.concat(added, F.transform(removed, F.bitwise_not)).alias("dev"),
     )
-    near = written(near, "pivoted")
-    reached = 100 * F.col("shared") >= similarity * (F.col("n") + F.col("p") - F.col("shared"))
-    stars = near.where(reached & (F.col("id") != F.col("pivot"))).select(F.col("id").alias("a"), F.col("pivot").alias("b"))
-    found = components(stars).select("id", F.col("component").alias("label"))
-    # what a set deviates beyond one at the threshold: of two sets that are linked but not by the pivot, one is above 0
-    excess = 100 * (F.col("p") - F.col("shared")) + similarity * (F.col("n") - F.col("shared")) - (100 - similarity) * F.col("p")
-    own = near.where("turn = 0").select("component", "id", "n", "p", "shared", "dev", excess.alias("excess"))
-    own = own.join(found, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    own = written(own, "deviations")
+    near = near.withColumn("linked", F.zip_with("common", "sizes", lambda c, m: 100 * c >= similarity * (F.col("n") + m - c)))
+    bits = F.transform("linked", lambda x, turn: F.when(x, F.pow(F.lit(2), turn).cast("int")).otherwise(F.lit(0)))
+    near = near.withColumn("mask", F.aggregate(bits, F.lit(0), lambda a, b: a + b)).withColumn("shared", F.col("common")[0])
+    near = written(near.drop("common", "sizes"), "pivoted")
+    stars = near.select(F.col("id").alias("a"), F.explode(F.arrays_zip("linked", "pivots")).alias("x"))
+    stars = stars.where("x.linked and a <> x.pivots").select("a", F.col("x.pivots").alias("b"))
+    masks = near.groupBy("component").agg(F.collect_set("mask").alias("masks"), F.first("pivots").alias("pivots"))
+    masks = written(masks.mapInArrow(_pivot_classes, "component long, mask int, label long, open boolean"), "pivot-classes")
     # the class of the first pivot is MAIN; sets of equal labels are linked, by others in between
-    main = own.where("excess <= 0").groupBy("component").agg(F.min("label").alias("main"))
-    own = own.join(few(written(main, "main")), "component").withColumn("label", F.when(F.col("label") == F.col("main"), F.lit(MAIN)).otherwise(F.col("label"))).drop("main")
-    open_ = own.where(F.col("label") != MAIN).select("component").distinct()
-    own = own.join(few(written(open_, "open-groups")), "component", "left_semi")
+    own = near.join(few(masks.where("open")), ["component", "mask"]).withColumn("label", F.coalesce("label", "id"))
+    # what a set deviates beyond one at the threshold: of two sets that are linked but not by the pivot, one is above 0
+    excess = similarity * (F.col("n") + F.col("p") - F.col("shared")) - 100 * F.col("shared")
+    own = own.select("component", "id", "n", "p", "shared", "dev", "label", excess.alias("excess"))
     tokens = own.select("component", "id", F.explode("dev").alias("token"))
-    counts = tokens.groupBy("component", "token").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
-    tokens = tokens.join(written(counts, "token-counts"), ["component", "token"], "left")
+    # most sets that no pivot is linked to are linked to some that share a deviation: a few of each are asked first
+    least = lambda k: F.min(F.col("id").bitwiseXOR(F.xxhash64("token", F.lit(k)))).bitwiseXOR(F.xxhash64("token", F.lit(k)))
+    counts = tokens.groupBy("component", "token").agg(F.count(F.lit(1)).alias("times"), *[least(k).alias(f"b{k}") for k in range(PROBES)])
+    counts = written(counts.where("times > 1"), "token-counts")
+    tokens = tokens.join(counts.select("component", "token", "times"), ["component", "token"], "left")
     ranked = F.array_sort(F.collect_list(F.struct(F.coalesce("times", F.lit(1)).alias("times"), "token")))
     ranked = tokens.groupBy("id").agg(ranked.alias("r")).select("id", F.col("r.token").alias("tokens"), F.filter("r", lambda x: x["times"] > 1)["token"].alias("common"))
     rows = written(own.drop("dev").join(ranked, "id"), "ranked")
-    # most sets that no pivot is linked to are linked to some that share a deviation: a few of each are asked first
-    least = lambda k: F.min(F.col("id").bitwiseXOR(F.xxhash64("token", F.lit(k)))).bitwiseXOR(F.xxhash64("token", F.lit(k)))
-    common = rows.select("component", "id", "label", F.explode("common").alias("token"))
-    named = written(common.groupBy("component", "token").agg(*[least(k).alias(f"b{k}") for k in range(PROBES)]), "named-tokens")
-    asked = common.where(F.col("label") != MAIN).select("component", F.col("id").alias("a"), "token").join(named, ["component", "token"])
+    asked = rows.where(F.col("label") != MAIN).select("component", F.col("id").alias("a"), F.explode("common").alias("token")).join(counts, ["component", "token"])
     pairs = asked.select("a", F.explode(F.array_distinct(F.array(*[f"b{k}" for k in range(PROBES)]))).alias("b")).where("a <> b").distinct()
-    probed = written(_reaching(written(pairs, "probes"), rows, similarity), "probed")
+    probed = written(_reaching(pairs, rows, similarity), "probed")
     links = [stars, probed]
     better = probed.join(rows.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("better"))
-    rows = rows.join(written(better, "better"), "id", "left").withColumn("label", F.least("label", "better")).drop("better", "common")
+    rows = rows.join(better, "id", "left").withColumn("label", F.least("label", "better")).drop("better", "common")
     rows = written(rows, "labelled")
     steps = [F.lit(1), *[F.ceil(F.lit(s) * (100 - similarity) * F.col("p")) for s in STEPS]]
     kind = reduce(lambda a, b: a + b, [(F.col("excess") >= s).cast("int") for s in steps])
@@ -438,7 +465,7 @@ def exact_links(docs: DataFrame, groups: DataFrame, size: int, similarity: int)
     total = groups.groupBy("component").agg(F.count(F.lit(1)).alias("sets"), F.sum("n_shingles").alias("shingles"))
     total = written(total.select("component", ((F.col("sets") > BLOCK) | (F.col("shingles") > BLOCK_SHINGLES)).alias("large")), "group-sizes")
     members = written(groups.join(total, "component"), "members")
-    placed = few(written(members.select("id", "component", "large"), "placed"))
+    placed = few(members.select("id", "component", "large"))
     sets = written(group_sets(docs, members, size).join(placed, "id"), "group-sets")
     if counted(sets) != counted(members):  # repeated rows
         sets = written(sets.dropDuplicates(["id"]), "group-sets")
