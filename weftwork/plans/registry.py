@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from weftwork.plans import model_queries, structure_queries, text_queries
+from weftwork.plans import context_queries, model_queries, structure_queries, text_queries
 
-_PARTS = (text_queries, structure_queries, model_queries)
+_PARTS = (text_queries, structure_queries, model_queries, context_queries)
 QUERIES = {name: query for part in _PARTS for name, query in part.Q.items()}
 ORACLES = {name: sql for part in _PARTS for name, sql in part.O.items()}
