@@ -211,11 +211,11 @@ def confident_patterns(texts: DataFrame, found: DataFrame) -> DataFrame:
         asked = near.distinct().groupBy("of", "pattern").agg(F.count(F.lit(1)).alias("m"))
         asked = written(asked.where(F.col("m") >= CONFIDENT / 2 * (SUPPORT + DOUBT)).select("of", "pattern"), "pii-asked")
         edges = written(_edges(texts, asked), "pii-edges")
-        # a pattern of fewer instances never marks and never lifts one: it leaves the graph
+        # a pattern of fewer instances never marks and never lifts one. Its size meets the sums of its held instances, one
+        # row each, and not its edges; edges meet what is held, and in the next step patterns of some confidence alone
         wide = edges.groupBy("of", "pattern").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SUPPORT)
-        # written, so that the join shuffles both sides itself: only then Spark splits the partition of a hot pattern
-        edges = written(edges.join(written(wide, "pii-wide"), ["of", "pattern"]), "pii-graph")
-        patterns = edges.join(held, "value").groupBy("of", "pattern", "kind").agg((F.sum("score") / (F.max("n") + DOUBT)).alias("confidence"))
+        sums = edges.join(held, "value").groupBy("of", "pattern", "kind").agg(F.sum("score").alias("sum"))
+        patterns = sums.join(wide, ["of", "pattern"]).select("of", "pattern", "kind", (F.col("sum") / (F.col("n") + DOUBT)).alias("confidence"))
         patterns = patterns.where(F.col("confidence") >= CONFIDENT / 2)
         if turn + 1 < ROUNDS:
             lifted = edges.select("of", "pattern", "value").join(patterns, ["of", "pattern"]).groupBy("value", "kind").agg(F.max("confidence").alias("score"))
