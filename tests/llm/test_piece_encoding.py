@@ -1,8 +1,12 @@
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import sentencepiece
 from cases import ODD, SF, frame
 
 from weftwork.llm import piece_encoding, q09_piece_encoding
+from weftwork.llm.common import text_blocks
 
 MORE = [(20, "a  b   c "), (21, " lead"), (22, "▁ mark ▁▁x"), (23, "tab\tline\r\n\n{\r end"), (24, "\x00\x01 日本語 \U0001f600")]
 
@@ -67,3 +71,18 @@ def test_shared_prefixes_change_nothing():
 def test_query(spark):
     rows = q09_piece_encoding.op9_piece_encoding(spark, SF).collect()
     assert len(rows) == 200 and all(r.exact for r in rows)
+
+
+def test_a_worker_holds_little_at_a_time():
+    # 8 MB of text in batches: what numpy and Python hold at once follows the block, not the input
+    names = [" ", *"abcdefghijklmnopqrstuvwxyz"]
+    pieces = piece_encoding.Pieces(names, [-1.0] * len(names), {}, set(), 0)
+    text = "the quick brown fox jumps over a lazy dog " * 24
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(1000)), "text": [text] * 1000})
+    tracemalloc.start()
+    try:
+        tokens = sum(len(pieces.encode(raw, offsets)[0]) for _, raw, offsets in text_blocks([batch] * 8))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert tokens == 8000 * (len(text) + 1) and peak < 64 << 20

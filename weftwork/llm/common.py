@@ -16,7 +16,7 @@ KEY = "struct<doc_id: long, mark: struct<a: long, b: int, c: int>>"
 #: Keys that are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1 << 18
 #: Bytes of text that a Python worker gathers before it computes; one longer document is a block alone.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 
 #: ASCII letters lowered and digits kept, bytes of other code points kept, all else a space.
 WORD_BYTES = bytes(
@@ -32,7 +32,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches are bounded by bytes, so rows of long texts do not pile up in a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "1m")
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from weftwork.llm.common import small_batches, text_blocks, words_of
 
 #: Words of which a worker keeps the ids.
-KEPT_WORDS = 200_000
+KEPT_WORDS = 1 << 16
 #: Distance below the lowest score at which a character counts that no piece covers.
 UNKNOWN = 10.0
 INFINITE = float("inf")
