@@ -120,3 +120,21 @@ def test_texts_of_many_matches(spark):
     many = " ".join(f"u{i}@mail.example {i}.1.1.1" for i in range(4000))
     got = personal_data.entities(frame(spark, [(1, many), (None, many)])).collect()
     assert [[tuple(s) for s in r.base] for r in got] == [brute(many)] * 2
+
+
+def test_patterns_of_common_words_are_not_followed_through_all_texts(spark, monkeypatch):
+    # three addresses stand between words that a thousand others stand between as well: one part of the texts tells
+    rows = [(i, f"in word{i} at") for i in range(1000)] + [(2000 + i, f"in a{i}@b.co at") for i in range(3)]
+    made, edges = [], personal_data._edges
+    monkeypatch.setattr(personal_data, "_edges", lambda *a: made.append(edges(*a)) or made[-1])
+    assert all(r.spans == r.base for r in personal_data.entities(frame(spark, rows)).collect())
+    assert made and sum(e.where(F.col("of") == personal_data.SIDES).count() for e in made) < 500
+
+
+def test_bounded_edges_are_all_edges_of_small_patterns(spark):
+    rows = [(f"in w{i} at",) for i in range(300)] + [(f"by v{i % 6} to {i}",) for i in range(300)]
+    texts = spark.createDataFrame(rows, "text string")
+    pairs = spark.createDataFrame([("in", "at", 6), ("by", "to", 6), ("by", "to", 5)], "l string, r string, most int")
+    asked = pairs.select(F.lit(personal_data.SIDES).alias("of"), F.xxhash64("l", "r").alias("pattern"), "most")
+    for most, left in ((6, 6), (5, 0)):
+        assert personal_data._bounded_edges(texts, asked.where(F.col("most") == most)).count() == left

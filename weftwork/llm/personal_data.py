@@ -37,6 +37,8 @@ TOKEN = r"\S++"
 ODD = r"[0-9@=_+/\[\](){}<>#~%&*|\\^$]|[:.](?=\S)"
 #: Rounds of scoring, weight of doubt in a pattern's confidence, least confidence and instances of a pattern that marks.
 ROUNDS, DOUBT, CONFIDENT, SUPPORT = 2, 2.0, 0.8, 5
+#: Parts of the texts (of their sum, by a hash) that patterns' instances are counted in, one after the other.
+PARTS = (2, 14, 48)
 #: What patterns are of.
 SIDES, NAME, SHAPE = 0, 1, 2
 #: Matches whose places are gathered, or spans that are compared, at a time.
@@ -157,6 +159,23 @@ def _edges(texts: DataFrame, asked: DataFrame) -> DataFrame:
     return sides.select(F.lit(SIDES).alias("of"), "pattern", value).union(odd.select("of", "pattern", value)).distinct()
 
 
+def _bounded_edges(texts: DataFrame, asked: DataFrame) -> DataFrame:
+    """The edges of the patterns of ``asked`` (of, pattern, most) that have ``most`` different values at most.
+
+    The texts are read part by part. A pattern that has more values in the parts so far has more in all texts: it is
+    dropped for good, and later parts are not asked for it. What stays is exact.
+    """
+    asked, edges, low = written(asked, "pii-bound"), None, 0
+    part = F.pmod(F.xxhash64("text"), F.lit(sum(PARTS)))
+    for size in PARTS:
+        new = _edges(texts.where((part >= low) & (part < low + size)), asked.select("of", "pattern"))
+        edges = written(new if edges is None else edges.union(new).distinct(), "pii-edges")
+        sizes = edges.groupBy("of", "pattern").agg(F.count(F.lit(1)).alias("n"))
+        small = asked.join(sizes, ["of", "pattern"], "left").where(F.coalesce("n", F.lit(0)) <= F.col("most"))
+        asked, low = written(small.select("of", "pattern", "most"), "pii-bound"), low + size
+    return edges.join(asked.select("of", "pattern"), ["of", "pattern"], "left_semi")
+
+
 def _patterns_of(texts: DataFrame, values: DataFrame) -> DataFrame:
     """value, of and pattern of all tokens whose value is one of ``values``."""
     values, value = few(values), F.xxhash64("token")
@@ -205,23 +224,29 @@ def confident_patterns(texts: DataFrame, found: DataFrame) -> DataFrame:
     seeds = written(_seeds(texts, found), "pii-tokens")
     value = F.xxhash64("lowered").alias("value")
     held = first = written(seeds.select(value, "kind").distinct().withColumn("score", F.lit(1.0)), "pii-seeds")
-    near = seeds.select(value, F.explode(_all_patterns(F.col("left"), F.col("lowered"), F.col("right"))).alias("p")).select("value", "p.*")
+    near = seeds.select(value, F.explode(_all_patterns(F.col("left"), F.col("lowered"), F.col("right"))).alias("p")).select("value", "p.*").distinct()
     for turn in range(ROUNDS):
+        least = CONFIDENT / 2 if turn + 1 < ROUNDS else CONFIDENT
+        every = written(_patterns_of(texts, written(held.select("value").distinct(), "pii-held")).distinct(), "pii-near")
         # only patterns of held values gain confidence, and a score is 1 at most: fewer of them than this never suffice
-        asked = near.distinct().groupBy("of", "pattern").agg(F.count(F.lit(1)).alias("m"))
+        asked = (every if turn else near).groupBy("of", "pattern").agg(F.count(F.lit(1)).alias("m"))
         asked = written(asked.where(F.col("m") >= CONFIDENT / 2 * (SUPPORT + DOUBT)).select("of", "pattern"), "pii-asked")
-        edges = written(_edges(texts, asked), "pii-edges")
-        # a pattern of fewer instances never marks and never lifts one. Its size meets the sums of its held instances, one
-        # row each, and not its edges; edges meet what is held, and in the next step patterns of some confidence alone
+        # a pattern's held values are known here, and with them how many values it may have at most; its size is counted
+        # up to there, so that a pattern of common words, which has far more, is not followed through all texts
+        known = written(every.join(few(asked), ["of", "pattern"], "left_semi"), "pii-known")
+        sums = written(known.join(held, "value").groupBy("of", "pattern", "kind").agg(F.sum("score").alias("sum")), "pii-sums")
+        most = F.floor(F.max("sum") / least - DOUBT + 1e-6).alias("most")
+        bound = known.groupBy("of", "pattern").agg(F.count(F.lit(1)).alias("h")).join(sums.groupBy("of", "pattern").agg(most), ["of", "pattern"])
+        bound = bound.where(F.col("most") >= F.greatest("h", F.lit(SUPPORT))).select("of", "pattern", "most")
+        edges = _bounded_edges(texts, bound)
+        # a pattern of fewer instances never marks and never lifts one
         wide = edges.groupBy("of", "pattern").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SUPPORT)
-        sums = edges.join(held, "value").groupBy("of", "pattern", "kind").agg(F.sum("score").alias("sum"))
         patterns = sums.join(wide, ["of", "pattern"]).select("of", "pattern", "kind", (F.col("sum") / (F.col("n") + DOUBT)).alias("confidence"))
-        patterns = patterns.where(F.col("confidence") >= CONFIDENT / 2)
+        patterns = patterns.where(F.col("confidence") >= least)
         if turn + 1 < ROUNDS:
             lifted = edges.select("of", "pattern", "value").join(patterns, ["of", "pattern"]).groupBy("value", "kind").agg(F.max("confidence").alias("score"))
             held = written(first.union(lifted).groupBy("value", "kind").agg(F.max("score").alias("score")), "pii-scores")
-            near = _patterns_of(texts, written(held.select("value").distinct(), "pii-held"))
-    return patterns.where(F.col("confidence") >= CONFIDENT)
+    return patterns
 
 
 def _marked(texts: DataFrame, patterns: DataFrame) -> DataFrame:
