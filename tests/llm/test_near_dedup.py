@@ -140,3 +140,48 @@ def test_query(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     found = q10_near_dedup.op10_near_dedup(spark, SF)
     assert rows(found) == brute(docs, 2) and found.where(~F.col("kept")).count() > 0
+
+
+def test_links_of_one_task_need_no_rounds(spark, monkeypatch):
+    """Up to PIECE links are joined in one pass; more in pieces and by rounds, to the same components."""
+    rng = random.Random(6)
+    edges = [(k, k + 1) for k in range(0, 60, 2)] + [(rng.randrange(90), rng.randrange(90)) for _ in range(50)] + [(-5, 88), (7, 7)]
+    want = classes_of({x for e in edges for x in e}, edges)
+    want = {i: c for i, c in want.items() if any(i in e and e[0] != e[1] for e in edges)}
+
+    def got():
+        return {r.id: r.component for r in near_dedup.components(spark.createDataFrame(edges, "a long, b long").repartition(3)).collect()}
+
+    monkeypatch.setattr(near_dedup, "PIECE", 8)
+    assert got() == want
+    monkeypatch.setattr(near_dedup, "PIECE", len(edges))
+    monkeypatch.setattr(near_dedup, "_star_rounds", None)
+    assert got() == want
+
+
+def test_large_nodes_end_after_few_levels(spark, monkeypatch):
+    """Sets of a large node that one of several pivots stands for go no further: a group of near copies is not followed through all levels."""
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(500)]
+    bases = [[rng.choice(words) for _ in range(60)]]
+    for _ in range(3):
+        bases.append([w if rng.random() < 0.85 else rng.choice(words) for w in bases[-1]])
+    docs = []
+    for copy in range(400):
+        text = list(bases[copy % 4])
+        text[rng.randrange(60)] = f"x{copy}"
+        docs.append((copy, " ".join(text)))
+    found = near_dedup.features(frame(spark, docs), 1)
+    sets = near_dedup.written(found.select(F.col("hi").alias("id"), "n_shingles", "mins", "sketch"), "sets")
+    rows, real = [], near_dedup.written
+
+    def counting(df, name):
+        out = real(df, name)
+        if name == "nodes":
+            rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "written", counting)
+    monkeypatch.setattr(near_dedup, "SMALL", 16)
+    near_dedup.candidates(sets)
+    assert sum(rows) < 2 * rows[0]

@@ -3,9 +3,10 @@
 Documents of equal shingle sets fall together first. The distinct sets then descend several independent trees: a
 node selects coordinates of the minwise signature by a hash of its own path, and sends each set to the child named
 by its minwise token there, 1 / similarity children on average. Nodes of few sets are compared exhaustively by
-their signatures. In a large node all sets are compared with one of them: those that agree well are tied to it and
-go no further, the others branch on. So no node makes more links than it has sets. Components of these candidate
-links are groups; trees are repeated until a pair at the threshold meets in one with the probability RECALL.
+their signatures. In a large node all sets are compared with some of them: those that agree are tied to these, and
+those that agree well with one go no further; the others branch on. So a node's links are linear in its sets.
+Components of these candidate links are groups; trees are repeated until a pair at the threshold meets in one with
+the probability RECALL.
 
 Full sets decide every link of a group. A small group is one block, compared exhaustively. In a large group every
 set is compared with a few pivots, which settles the sets that a pivot is linked to. A link between others takes
@@ -30,12 +31,14 @@ from pyspark.sql import functions as F
 
 from weftwork.llm.common import KEY, LOWER_BYTES, counted, few, keyed, released, small_batches, text_blocks, text_mark, without, word_spans, words_of, written
 
-#: Coordinates of the minwise signature, levels of a tree, sets of a small node.
-SIGNATURE, LEVELS, SMALL = 64, 8, 64
+#: Coordinates of the minwise signature, levels of a tree, sets of a small node, sets that all of a large one are compared with.
+SIGNATURE, LEVELS, SMALL, ASKED = 64, 8, 256, 4
+#: Links that one task joins to stars.
+PIECE = 1 << 20
 #: Sets of a small group, and shingles of all its sets together.
 BLOCK, BLOCK_SHINGLES = 128, 1 << 21
 #: Signature coordinates in common from which sets are candidates: 4.4 standard deviations below a similarity of 0.8;
-#: and from which one that is tied to a large node's pivot goes no further.
+#: and from which one that is tied to a pivot of a large node goes no further.
 AGREE, CLOSE = 37, 45
 #: Part of the pairs at the threshold that meet in some tree, and levels that they need for it.
 RECALL, DEPTH = 0.999, 5
@@ -147,10 +150,38 @@ def _star_rounds(edges: DataFrame) -> DataFrame:
     return edges
 
 
+def _stars(batches):
+    """Stars (u, v: the smallest id) that join what the links (a, b) of a task join, by PIECE links at a time."""
+    kept, size = [], 0
+    for batch in batches:
+        kept.append(batch)
+        size += batch.num_rows
+        if size >= PIECE:
+            yield _starred(kept)
+            kept, size = [], 0
+    if size:
+        yield _starred(kept)
+
+
+def _starred(batches: list) -> pa.RecordBatch:
+    ends = np.concatenate([batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1) for batch in batches])
+    ids, row = np.unique(ends, return_inverse=True)
+    root = _joined(row[: len(row) // 2], row[len(row) // 2 :], len(ids))
+    up = np.flatnonzero(root != np.arange(len(ids)))
+    return pa.RecordBatch.from_arrays([pa.array(ids[up]), pa.array(ids[root[up]])], ["u", "v"])
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """id and component (its smallest id) of every end of ``edges`` (a, b: long); alternating large and small stars."""
-    ends = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    stars = _star_rounds(ends)
+    """id and component (its smallest id) of every end of ``edges`` (a, b: long).
+
+    Tasks join up to PIECE links each to stars. Where there are more, alternating large and small stars join the rest.
+    """
+    ends = written(edges.where("a <> b").select("a", "b"), "ends")
+    pieces = -(-counted(ends) // PIECE)
+    stars = written(ends.coalesce(max(1, pieces)).mapInArrow(_stars, "u long, v long"), "stars")
+    released(ends)
+    if pieces > 1:
+        stars = _star_rounds(stars)
     return stars.select(F.col("u").alias("id"), F.col("v").alias("component")).union(stars.select("v", "v").distinct())
 
 
@@ -191,7 +222,7 @@ def _similar_by_signature(batches):
     """Forests of the candidate links inside small nodes; rows: node, id, n_shingles, sketch; sorted by node."""
     for batch in _whole_groups(batches):
         node, ids, size = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        sketch = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(len(ids), -1)
+        sketch = _bytes(batch.column(3))
         found_a, found_b = [], []
         for step in range(1, SMALL):
             same = np.flatnonzero(node[step:] == node[:-step]) if step < len(node) else []
@@ -209,12 +240,6 @@ def _similar_by_signature(batches):
         yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(ids[root[row]])], ["a", "b"])
 
 
-def _coordinates(seed) -> list:
-    """Coordinates that a node selects, by hash: one always, another so that 1.25 are expected."""
-    draw = lambda k: F.pmod(F.xxhash64(seed, F.lit(k)), F.lit(SIGNATURE)).cast("int")
-    return [draw(0), F.when(F.pmod(F.xxhash64(seed, F.lit(9)), F.lit(4)) == 0, draw(1))]
-
-
 @cache
 def trees(similarity: int) -> int:
     """Trees in one of which a pair at the threshold stays together for DEPTH levels with the probability RECALL.
@@ -228,13 +253,38 @@ def trees(similarity: int) -> int:
     return int(np.ceil(np.log(1 - RECALL) / np.log(apart)))
 
 
-def _near_pivot(batches):
-    """Sets of large nodes that are candidates of the node's pivot, and whether they branch on; rows: node, id, n, pivot, sketch, other."""
+def _bytes(column) -> np.ndarray:
+    """The bytes of an Arrow array of sketches, a row of the result each."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, SIGNATURE)
+
+
+def _children(nodes: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and child nodes of sets: a node selects one coordinate always and another so that 1.25 are expected, by hash of its own."""
+    draw = lambda k: _mixed(nodes + np.uint64(k)) % np.uint64(SIGNATURE)
+    first, second = draw(1), draw(2)
+    both = (_mixed(nodes + np.uint64(3)) % np.uint64(4) == 0) & (first != second)
+    rows = np.concatenate([np.arange(len(nodes)), np.flatnonzero(both)])
+    at = np.concatenate([first, second[both]])
+    token = at * np.uint64(256) + sketch[rows, at.astype(np.int64)]
+    return rows, _mixed(_mixed(nodes[rows]) + (token + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+
+
+def _near_pivots(batches):
+    """Links of sets of large nodes with the node's pivots (link: true), and children of the sets that no pivot stands for.
+
+    Rows: node, id, sketch, pivots (list of turn, pivot and other: its sketch); ASKED in each list.
+    """
     for batch in batches:
-        own, other = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (4, 5))
-        same = (own == other).sum(axis=1)
-        a, b = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 3))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array((same >= AGREE) & (a != b)), pa.array((same < CLOSE) & (a != b))], ["node", "id", "n", "pivot", "tied", "on"])
+        nodes, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        own, pivots = _bytes(batch.column(2)), batch.column(3).flatten()
+        of, other = pivots.field("pivot").to_numpy(zero_copy_only=False).reshape(-1, ASKED), _bytes(pivots.field("other")).reshape(-1, ASKED, SIGNATURE)
+        same = np.stack([(own == other[:, k]).sum(axis=1) for k in range(ASKED)], axis=1)
+        row, turn = np.nonzero((same >= AGREE) & (of != ids[:, None]))
+        on = np.flatnonzero((same < CLOSE).all(axis=1))
+        child, node = _children(nodes[on].view(np.uint64), own[on])
+        link = np.arange(len(row) + len(child)) < len(row)
+        columns = np.concatenate([ids[row], ids[on[child]]]), np.concatenate([of[row, turn], node]), link
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["id", "other", "link"])
 
 
 def candidates(sets: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
@@ -246,31 +296,30 @@ def candidates(sets: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
         for i in rng.choice(SIGNATURE, 1 + (tree % 4 == 0), replace=False):
             chosen.append(F.xxhash64(F.lit(tree), F.lit(int(i)), F.get("mins", F.lit(int(i)))))
     rows = sets.select("id", F.explode(F.array(*chosen)).alias("node"))
+    # some of a node's sets, others in each tree: the smallest after their bits are turned by hashes of the node
+    turned = lambda k: F.xxhash64("node", F.lit(k))
+    least = [F.min(F.col("id").bitwiseXOR(turned(k))).alias(f"least{k}") for k in range(ASKED)]
     links = []
     for level in range(1, LEVELS + 1):
-        # one of a node's sets, another in each tree: the smallest after its bits are turned by the node's
-        least = F.min(F.col("id").bitwiseXOR(F.col("node"))).alias("least")
-        sizes = written(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), least).where("n > 1"), "sizes")
+        sizes = written(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), *least).where("n > 1"), "sizes")
         # written, so that the join shuffles both sides itself: only then Spark splits the partition of a hot node
         rows = written(rows.join(sizes.select("node", "n"), "node"), "nodes")
         small = rows.where(F.col("n") <= SMALL).select("node", "id")
         small = small.join(signed, "id").select("node", "id", "n_shingles", "sketch")
         small = small.repartition("node").sortWithinPartitions("node")
         links.append(small.mapInArrow(_similar_by_signature, "a long, b long"))
-        large = rows.where(F.col("n") > SMALL)
+        large = sizes.where(F.col("n") > SMALL)
         if large.isEmpty():
             released(sizes)
             break
-        pivots = sizes.where(F.col("n") > SMALL).select("node", F.col("least").bitwiseXOR(F.col("node")).alias("pivot"))
+        pivots = large.select("node", F.posexplode(F.array(*[F.col(f"least{k}").bitwiseXOR(turned(k)) for k in range(ASKED)])).alias("turn", "pivot"))
         pivots = pivots.join(signed.select(F.col("id").alias("pivot"), F.col("sketch").alias("other")), "pivot")
-        large = large.join(signed.select("id", "sketch"), "id").join(pivots, "node").select("node", "id", "n", "pivot", "sketch", "other")
-        large = written(large.mapInArrow(_near_pivot, "node long, id long, n long, pivot long, tied boolean, on boolean"), "large-nodes")
-        links.append(large.where("tied").select(F.col("id").alias("a"), F.col("pivot").alias("b")))
-        picks = F.explode(F.array_compact(F.array(*_coordinates(F.col("node")))))
-        on = large.where("on").select("node", "id", picks.alias("i")).join(sets.select("id", "mins"), "id")
-        on = on.select("id", F.xxhash64("node", "i", F.get("mins", F.col("i"))).alias("node"))
+        pivots = pivots.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("turn", "pivot", "other"))).alias("pivots"))
+        met = rows.where(F.col("n") > SMALL).join(signed.select("id", "sketch"), "id").join(pivots, "node").select("node", "id", "sketch", "pivots")
+        met = written(met.mapInArrow(_near_pivots, "id long, other long, link boolean"), "large-nodes")
+        links.append(met.where("link").select(F.col("id").alias("a"), F.col("other").alias("b")))
         released(sizes)
-        rows = on
+        rows = met.where("not link").select("id", F.col("other").alias("node"))
     return reduce(DataFrame.union, links)
 
 
@@ -470,7 +519,7 @@ def exact_links(docs: DataFrame, groups: DataFrame, size: int, similarity: int)
     if counted(sets) != counted(members):  # repeated rows
         sets = written(sets.dropDuplicates(["id"]), "group-sets")
     small = sets.where("not large").select("component", "id", "hashes").repartition("component").sortWithinPartitions("component")
-    links = [small.mapInArrow(_exact(similarity), "a long, b long").distinct()]
+    links = [small.mapInArrow(_exact(similarity), "a long, b long")]
     if not total.where("large").isEmpty():
         links += _large_group_links(members.where("large").select("component", "id", "sketch"), sets.where("large").select("component", "id", "hashes"), similarity)
     return reduce(DataFrame.union, links)
