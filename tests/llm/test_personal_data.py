@@ -138,3 +138,18 @@ def test_bounded_edges_are_all_edges_of_small_patterns(spark):
     asked = pairs.select(F.lit(personal_data.SIDES).alias("of"), F.xxhash64("l", "r").alias("pattern"), "most")
     for most, left in ((6, 6), (5, 0)):
         assert personal_data._bounded_edges(texts, asked.where(F.col("most") == most)).count() == left
+
+
+def test_texts_are_not_shuffled(spark):
+    """Few spans meet the texts by a broadcast, whatever Spark estimates of them, and seeds are read where their texts are."""
+    docs = [(k, f"call +1 (555) 010-{1000 + k} or mail user{k}@example.org") for k in range(20)] + [(50, None), (51, "none"), (None, "a@b.co")]
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = personal_data.redacted(frame(spark, docs))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        texts = {r.doc_id: r.text for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
+    assert texts == {k: "call <PHONE> or mail <EMAIL>" for k in range(20)} | {50: None, 51: "none", None: "<EMAIL>"}

@@ -199,9 +199,10 @@ def _meeting(spans: Column, others: Column) -> Column:
 
 
 def base_entities(docs: DataFrame) -> DataFrame:
-    """key and base (array of start, kind, end by start and kind) of every row; null texts are empty."""
+    """key, base (array of start, kind, end by start and kind) and, where there are any, text of every row; null texts are empty."""
     rows = keyed(docs).withColumn("text", F.coalesce("text", F.lit("")))
-    return rows.select("key", F.array_sort(F.concat(*[_base(F.col("text"), k) for k in KINDS])).alias("base"))
+    rows = rows.select("key", "text", F.array_sort(F.concat(*[_base(F.col("text"), k) for k in KINDS])).alias("base"))
+    return rows.select("key", "base", F.when(F.size("base") > 0, F.col("text")).alias("text"))
 
 
 def _beside(tokens: Column) -> Column:
@@ -210,9 +211,9 @@ def _beside(tokens: Column) -> Column:
     return F.transform(tokens, lambda t, i: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["value"].alias("token"), F.lower(t["value"]).alias("lowered"), near(i - 1).alias("left"), near(i + 1).alias("right")))
 
 
-def _seeds(texts: DataFrame, found: DataFrame) -> DataFrame:
-    """kind, lowered, left and right of the tokens that base entities lie in."""
-    rows = found.where(F.size("base") > 0).dropDuplicates(["key"]).join(texts, "key")
+def _seeds(found: DataFrame) -> DataFrame:
+    """kind, lowered, left and right of the tokens that base entities lie in; of repeated rows repeatedly."""
+    rows = found.where(F.size("base") > 0)
     rows = rows.select("base", _placed(F.col("text"), TOKEN).alias("tokens")).select("base", _beside(F.col("tokens")).alias("tokens"))
     rows = rows.select("base", _meeting(F.col("base"), F.col("tokens")).alias("met"))
     rows = rows.select(F.explode(F.arrays_zip(F.col("base.kind").alias("kind"), "met")).alias("b")).select("b.kind", F.explode("b.met").alias("t"))
@@ -221,7 +222,7 @@ def _seeds(texts: DataFrame, found: DataFrame) -> DataFrame:
 
 def confident_patterns(texts: DataFrame, found: DataFrame) -> DataFrame:
     """of, pattern (a hash), kind and confidence of the patterns that mark; from the pattern-instance graph of all ``texts`` (key, text)."""
-    seeds = written(_seeds(texts, found), "pii-tokens")
+    seeds = written(_seeds(found), "pii-tokens")
     value = F.xxhash64("lowered").alias("value")
     held = first = written(seeds.select(value, "kind").distinct().withColumn("score", F.lit(1.0)), "pii-seeds")
     near = seeds.select(value, F.explode(_all_patterns(F.col("left"), F.col("lowered"), F.col("right"))).alias("p")).select("value", "p.*").distinct()
@@ -282,7 +283,8 @@ def _entities(docs: DataFrame) -> DataFrame:
     texts = keyed(docs).withColumn("text", F.coalesce("text", F.lit(""))).where("text <> ''")
     found = written(base_entities(docs), "pii-base")
     patterns = written(confident_patterns(texts, found), "pii-patterns")
-    more = _marked(texts, patterns).join(found.where(F.size("base") > 0).dropDuplicates(["key"]), "key", "left")
+    held = found.where(F.size("base") > 0).select("key", "base").dropDuplicates(["key"])
+    more = _marked(texts, patterns).join(held, "key", "left")
     clear = F.arrays_zip(F.col("more").alias("s"), _meeting(F.col("more"), F.coalesce("base", _empty())).alias("met"))
     more = more.select(F.col("key").alias("_key"), F.transform(F.filter(clear, lambda x: F.size(x["met"]) == 0), lambda x: x["s"]).alias("more"))
     more = written(more.where(F.size("more") > 0), "pii-more")
@@ -313,7 +315,7 @@ def redacted(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     spans = _entities(docs).where(F.size("spans") > 0).select(F.col("key").alias("_key"), F.col("spans").alias("_spans")).dropDuplicates(["_key"])
     own = F.struct(docs["doc_id"].cast("long").alias("doc_id"), text_mark(docs["text"].cast("string")).alias("mark"))
-    rows = docs.join(written(spans, "pii-spans"), own.eqNullSafe(F.col("_key")), "left")
+    rows = docs.join(few(written(spans, "pii-spans")), own.eqNullSafe(F.col("_key")), "left")
     names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
     start = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
 
