@@ -185,3 +185,55 @@ def test_large_nodes_end_after_few_levels(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "SMALL", 16)
     near_dedup.candidates(sets)
     assert sum(rows[1:]) < rows[0] / 10
+
+
+def test_groups_of_some_hundred_sets_take_no_rounds(spark, monkeypatch):
+    """A node of a few thousand sets goes down in one task and a group of them is decided in one: no joins for levels or pivots."""
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(500)]
+    texts = [[rng.choice(words) for _ in range(60)]]
+    for _ in range(3):
+        texts.append([w if rng.random() < 0.7 else rng.choice(words) for w in texts[-1]])
+    docs = []
+    for copy in range(400):
+        text = list(texts[copy % 4])
+        for _ in range(rng.randrange(1, 12)):
+            text[rng.randrange(60)] = rng.choice(words)
+        docs.append((copy, " ".join(text)))
+    names, real = [], near_dedup.written
+
+    def noted(df, name):
+        names.append(name)
+        return real(df, name)
+
+    monkeypatch.setattr(near_dedup, "written", noted)
+    want = brute(docs, 1)
+    assert rows(near_dedup.classes(frame(spark, docs), 1)) == want and 1 < len({x[2] for x in want}) < 300
+    assert names.count("sizes") == 1 and "large-nodes" not in names and "pivots" not in names
+
+
+def test_looked_up_gives_the_classes_of_all_links():
+    rng = np.random.default_rng(1)
+    for likeness in (30, 50, 80):
+        sets = [np.unique(rng.integers(0, 40, rng.integers(1, 40))).astype(np.uint64) for _ in range(90)]
+        sets += [np.unique(np.concatenate([s, rng.integers(0, 40, 2).astype(np.uint64)])) for s in sets[::2]]
+        want = near_dedup._joined(*near_dedup._linked(sets, likeness), len(sets))
+        assert near_dedup._looked_up(sets, likeness).tolist() == want.tolist()
+    assert 1 < len(set(want.tolist())) < len(sets)
+
+
+def test_descended_nodes_link_near_sets(monkeypatch):
+    """Families of sets in nodes larger than PAIRED: each family in one piece, and no more links than grow with the sets."""
+    rng = np.random.default_rng(2)
+    family = np.repeat(np.arange(12), 100)
+    sketch = rng.integers(0, 256, (12, near_dedup.SIGNATURE)).astype(np.uint8)[family]
+    sketch[np.arange(len(family)), rng.integers(0, near_dedup.SIGNATURE, len(family))] = 1
+    order = rng.permutation(len(family))
+    node, ids = np.sort(np.resize(np.array([5, -7]), len(family))), rng.integers(-(1 << 63), 1 << 63, len(family))
+    monkeypatch.setattr(near_dedup, "PAIRED", 16)
+    a, b = near_dedup._descended(node, ids, np.full(len(family), 60), sketch[order], near_dedup.LEVELS)
+    assert (family[order][a] == family[order][b]).all() and (node[a] == node[b]).all()
+    assert len(a) < 40 * len(family)
+    root = near_dedup._joined(a, b, len(family))
+    pieces = {(f, n): len(set(root[(family[order] == f) & (node == n)].tolist())) for f in range(12) for n in (5, -7)}
+    assert max(pieces.values()) <= 3

@@ -3,12 +3,14 @@
 Documents of equal shingle sets fall together first. The distinct sets then descend several independent trees: a
 node selects coordinates of the minwise signature by a hash of its own path, and sends each set to the child named
 by its minwise token there, 1 / similarity children on average. Nodes of few sets are compared exhaustively by
-their signatures. In a large node all sets are compared with some of them: those that agree are tied to these, and
+their signatures. In others all sets are compared with some of them: those that agree are tied to these, and
 those that agree well with one go no further; the others branch on. So a node's links are linear in its sets.
+A node that is not large goes all the way down in one task; only large ones take a round of joins for each level.
 Components of these candidate links are groups; trees are repeated until a pair at the threshold meets in one with
 the probability RECALL.
 
-Full sets decide every link of a group. A small group is one block, compared exhaustively. In a large group every
+Full sets decide every link of a group. A small group is one block: few sets are compared exhaustively, and of more
+each set outside one class is looked up in an index of the block. In a large group every
 set is compared with a few pivots, which settles the sets that a pivot is linked to. A link between others takes
 words in common that the first pivot lacks, or lacks in common that it has: sets are written as deviations from
 it, and prefixes of these, rarest first, find all pairs that can reach the similarity, without comparing the rest.
@@ -31,12 +33,16 @@ from pyspark.sql import functions as F
 
 from weftwork.llm.common import KEY, LOWER_BYTES, counted, few, keyed, released, small_batches, text_blocks, text_mark, without, word_spans, words_of, written
 
-#: Coordinates of the minwise signature, levels of a tree, sets of a small node, sets that all of a large one are compared with.
-SIGNATURE, LEVELS, SMALL, ASKED = 64, 8, 256, 4
+#: Coordinates of the minwise signature, levels of a tree, sets of a node that one task takes down, sets that all of a node are compared with.
+SIGNATURE, LEVELS, SMALL, ASKED = 64, 8, 8192, 4
+#: Sets of a node or group that are compared exhaustively.
+PAIRED = 256
 #: Links that one task joins to stars.
 PIECE = 1 << 20
-#: Sets of a small group, and shingles of all its sets together.
-BLOCK, BLOCK_SHINGLES = 128, 1 << 21
+#: Sets of a small group, shingles of all its sets together, and the product of both: what looking up every set may read.
+BLOCK, BLOCK_SHINGLES, BLOCK_WORK = 4096, 1 << 21, 1 << 30
+#: Sets that are looked up before a class is chosen whose sets need not be.
+TRIED = 8
 #: Signature coordinates in common from which sets are candidates: 4.4 standard deviations below a similarity of 0.8;
 #: and from which one that is tied to a pivot of a large node goes no further.
 AGREE, CLOSE = 37, 45
@@ -218,26 +224,54 @@ def _whole_groups(batches):
         yield kept
 
 
-def _similar_by_signature(batches):
-    """Forests of the candidate links inside small nodes; rows: node, id, n_shingles, sketch; sorted by node."""
-    for batch in _whole_groups(batches):
-        node, ids, size = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        sketch = _bytes(batch.column(3))
-        found_a, found_b = [], []
-        for step in range(1, SMALL):
-            same = np.flatnonzero(node[step:] == node[:-step]) if step < len(node) else []
-            if not len(same):
-                break
-            other = same + step
-            near = (10 * np.minimum(size[same], size[other]) >= 8 * np.maximum(size[same], size[other])) & (ids[same] != ids[other])
-            same, other = same[near], other[near]
-            close = (sketch[same] == sketch[other]).sum(axis=1) >= AGREE
-            found_a.append(same[close])
-            found_b.append(other[close])
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (found_a, found_b))
-        root = _joined(a, b, len(ids))
-        row = np.flatnonzero(root != np.arange(len(ids)))
-        yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(ids[root[row]])], ["a", "b"])
+def _similar_by_signature(levels: int):
+    def scan(batches):
+        """Forests of the candidate links inside nodes and the levels below; rows: node, id, n_shingles, sketch; sorted by node."""
+        for batch in _whole_groups(batches):
+            node, ids, size = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            root = _joined(*_descended(node, ids, size, _bytes(batch.column(3)), levels), len(ids))
+            row = np.flatnonzero(root != np.arange(len(ids)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(ids[root[row]])], ["a", "b"])
+
+    return scan
+
+
+def _descended(node: np.ndarray, ids: np.ndarray, size: np.ndarray, sketch: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate links (rows a, b) of whole nodes on so many levels: all pairs of PAIRED sets at most, of more those with ASKED of them."""
+    rows, links = np.arange(len(ids)), [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for _ in range(levels):
+        by = np.lexsort((_mixed(ids[rows].view(np.uint64) ^ _mixed(node.view(np.uint64))), node))
+        node, rows = node[by], rows[by]
+        _, begins, counts = np.unique(node, return_index=True, return_counts=True)
+        first, paired = np.repeat(begins, counts), np.repeat(counts <= PAIRED, counts)
+        links += _paired(node[paired], rows[paired], ids, size, sketch)
+        on = np.flatnonzero(~paired)
+        if not len(on):
+            break
+        own = sketch[rows[on]]
+        asked = rows[first[on][:, None] + np.arange(ASKED)]
+        same = np.stack([(own == sketch[asked[:, k]]).sum(axis=1) for k in range(ASKED)], axis=1)
+        row, turn = np.nonzero((same >= AGREE) & (asked != rows[on][:, None]))
+        links.append((rows[on][row], asked[row, turn]))
+        on = on[(same < CLOSE).all(axis=1)]
+        child, node = _children(node[on].view(np.uint64), sketch[rows[on]])
+        rows = rows[on][child]
+    a, b = (np.concatenate(x) for x in zip(*links, strict=True))
+    return a, b
+
+
+def _paired(node: np.ndarray, rows: np.ndarray, ids: np.ndarray, size: np.ndarray, sketch: np.ndarray):
+    """Links (rows a, b) of all pairs inside each node that agree; ``node`` is sorted."""
+    ids, size, sketch = ids[rows], size[rows], sketch[rows]
+    for step in range(1, min(PAIRED, len(node))):
+        same = np.flatnonzero(node[step:] == node[:-step])
+        if not len(same):
+            break
+        other = same + step
+        near = (10 * np.minimum(size[same], size[other]) >= 8 * np.maximum(size[same], size[other])) & (ids[same] != ids[other])
+        same, other = same[near], other[near]
+        close = (sketch[same] == sketch[other]).sum(axis=1) >= AGREE
+        yield rows[same[close]], rows[other[close]]
 
 
 @cache
@@ -296,29 +330,29 @@ def candidates(sets: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
         for i in rng.choice(SIGNATURE, 1 + (tree % 4 == 0), replace=False):
             chosen.append(F.xxhash64(F.lit(tree), F.lit(int(i)), F.get("mins", F.lit(int(i)))))
     rows = sets.select("id", F.explode(F.array(*chosen)).alias("node"))
-    # some of a node's sets, others in each tree: the smallest after their bits are turned by hashes of the node
+    # some of a large node's sets, others in each tree: the smallest after their bits are turned by hashes of the node
     turned = lambda k: F.xxhash64("node", F.lit(k))
     least = [F.min(F.col("id").bitwiseXOR(turned(k))).alias(f"least{k}") for k in range(ASKED)]
     links = []
     for level in range(1, LEVELS + 1):
-        sizes = written(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), *least).where("n > 1"), "sizes")
+        sizes = written(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
         # written, so that the join shuffles both sides itself: only then Spark splits the partition of a hot node
-        rows = written(rows.join(sizes.select("node", "n"), "node"), "nodes")
+        rows = written(rows.join(sizes, "node"), "nodes")
         small = rows.where(F.col("n") <= SMALL).select("node", "id")
         small = small.join(signed, "id").select("node", "id", "n_shingles", "sketch")
         small = small.repartition("node").sortWithinPartitions("node")
-        links.append(small.mapInArrow(_similar_by_signature, "a long, b long"))
-        large = sizes.where(F.col("n") > SMALL)
-        if large.isEmpty():
-            released(sizes)
+        links.append(small.mapInArrow(_similar_by_signature(LEVELS + 1 - level), "a long, b long"))
+        last = sizes.where(F.col("n") > SMALL).isEmpty()
+        released(sizes)
+        if last:
             break
-        pivots = large.select("node", F.posexplode(F.array(*[F.col(f"least{k}").bitwiseXOR(turned(k)) for k in range(ASKED)])).alias("turn", "pivot"))
+        large = rows.where(F.col("n") > SMALL).select("node", "id")
+        pivots = large.groupBy("node").agg(*least).select("node", F.posexplode(F.array(*[F.col(f"least{k}").bitwiseXOR(turned(k)) for k in range(ASKED)])).alias("turn", "pivot"))
         pivots = pivots.join(signed.select(F.col("id").alias("pivot"), F.col("sketch").alias("other")), "pivot")
         pivots = pivots.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("turn", "pivot", "other"))).alias("pivots"))
-        met = rows.where(F.col("n") > SMALL).join(signed.select("id", "sketch"), "id").join(pivots, "node").select("node", "id", "sketch", "pivots")
+        met = large.join(signed.select("id", "sketch"), "id").join(pivots, "node").select("node", "id", "sketch", "pivots")
         met = written(met.mapInArrow(_near_pivots, "id long, other long, link boolean"), "large-nodes")
         links.append(met.where("link").select(F.col("id").alias("a"), F.col("other").alias("b")))
-        released(sizes)
         rows = met.where("not link").select("id", F.col("other").alias("node"))
     return reduce(DataFrame.union, links)
 
@@ -333,8 +367,8 @@ def _exact(similarity: int):
             ends, flat = np.asarray(hashes.offsets), hashes.values.to_numpy(zero_copy_only=False)
             out_a, out_b = [], []
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                a, b = _linked([flat[ends[i] : ends[i + 1]] for i in range(lo, hi)], similarity)
-                root = _joined(a, b, hi - lo)
+                sets = [flat[ends[i] : ends[i + 1]] for i in range(lo, hi)]
+                root = _joined(*_linked(sets, similarity), hi - lo) if hi - lo <= PAIRED else _looked_up(sets, similarity)
                 row = np.flatnonzero(root != np.arange(hi - lo))
                 out_a.append(ids[lo + row])
                 out_b.append(ids[lo + root[row]])
@@ -367,6 +401,34 @@ def _linked(sets: list[np.ndarray], similarity: int) -> tuple[np.ndarray, np.nda
     return a, b
 
 
+def _looked_up(sets: list[np.ndarray], similarity: int) -> np.ndarray:
+    """The smallest row of each set's class. A set is compared with all that share a shingle with it.
+
+    Of a link between a set of one class and another outside it, the latter finds it: so sets of the class that is
+    the largest after TRIED sets are not looked up.
+    """
+    n = len(sets)
+    sizes = np.array([len(s) for s in sets], np.int64)
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    _, code, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    holders = np.repeat(np.arange(n), sizes)[np.argsort(code, kind="stable")]
+    begins = np.cumsum(times) - times
+    root, main = np.arange(n), 0
+    for i in range(n):
+        if i == TRIED:
+            main = int(np.argmax(np.bincount(root)[root]))
+        if i >= TRIED and root[i] == root[main]:
+            continue
+        held = code[starts[i] : starts[i + 1]]
+        ends = np.cumsum(times[held])
+        at = np.repeat(begins[held] - ends + times[held], times[held]) + np.arange(ends[-1])
+        common = np.bincount(holders[at], minlength=n)
+        near = np.unique(root[100 * common >= similarity * (sizes[i] + sizes - common)])
+        if len(near) > 1:
+            root[np.isin(root, near)] = near[0]
+    return root
+
+
 def group_sets(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
     """id and hashes (array of longs, sorted) of the sets of ``members`` (id, doc_id of a document that has the set)."""
     small_batches(docs.sparkSession)
@@ -512,7 +574,8 @@ def _reaching(pairs: DataFrame, rows: DataFrame, similarity: int) -> DataFrame:
 def exact_links(docs: DataFrame, groups: DataFrame, size: int, similarity: int) -> DataFrame:
     """Links (a, b) that give the exact classes inside ``groups`` (id, component, doc_id, n_shingles, sketch), from whole texts."""
     total = groups.groupBy("component").agg(F.count(F.lit(1)).alias("sets"), F.sum("n_shingles").alias("shingles"))
-    total = written(total.select("component", ((F.col("sets") > BLOCK) | (F.col("shingles") > BLOCK_SHINGLES)).alias("large")), "group-sizes")
+    large = (F.col("sets") > BLOCK) | (F.col("shingles") > BLOCK_SHINGLES) | (F.col("sets") * F.col("shingles") > BLOCK_WORK)
+    total = written(total.select("component", large.alias("large")), "group-sizes")
     members = written(groups.join(total, "component"), "members")
     placed = few(members.select("id", "component", "large"))
     sets = written(group_sets(docs, members, size).join(placed, "id"), "group-sets")
